@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loreforge.llm import bpe_tree, token_files
+from loreforge.llm import bpe_tree, simhash, token_files
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
+    "op6_simhash_variants": simhash.op6_simhash_variants,
     "op10_bpe_tree": bpe_tree.op10_bpe_tree,
 }
 
