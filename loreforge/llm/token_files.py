@@ -19,8 +19,10 @@ from __future__ import annotations
 import functools
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -197,24 +199,46 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: a printable letter for each byte, as a translation of Latin-1 characters."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Words(dict):
+    """The ids of words, as bytes; a new word's are asked from the library's model.  Beyond ``keep`` words it starts anew."""
+
+    def __init__(self, tokenizer, dtype: str, keep: int):
+        super().__init__()
+        self.tokenize, self.code, self.keep, self.letters = tokenizer.model.tokenize, "H" if dtype == "<u2" else "I", keep, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.keep:
+            self.clear()
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+        return ids
+
+
 class WordEncoder:
     """The tokenizers library's ids of whole texts.
 
     A byte-level tokenizer cuts a text into words and encodes each on its own, so
-    the ids of a word are kept and the library is asked once for each new one.
-    Texts beyond Latin-1, and tokenizers that aren't plain byte-level ones, go to
-    the library whole.  At most ``keep`` words are kept; beyond, it starts anew.
+    the ids of a word are kept and the library's model is asked once for each new
+    one.  Texts beyond Latin-1, and tokenizers that aren't plain byte-level ones, go
+    to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep, self.words = keep, {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         pre = str(self.tokenizer.pre_tokenizer)
-        self.by_word = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in pre and "use_regex=True" in pre
+        plain = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in pre and "use_regex=True" in pre
+        self.words = Words(self.tokenizer, self.dtype, keep) if plain and sys.byteorder == "little" else None
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -224,17 +248,9 @@ class WordEncoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self.whole([text])[0]
-        if not self.by_word:
+        if self.words is None:
             return self.whole([text])[0]
-        cut, words = LATIN_WORDS.findall(text), self.words
-        try:
-            return np.frombuffer(b"".join([words[w] for w in cut]), self.dtype)
-        except KeyError:
-            if len(words) > self.keep:
-                words.clear()
-            new = [w for w in dict.fromkeys(cut) if w not in words]
-            words.update(zip(new, (ids.tobytes() for ids in self.whole(new)), strict=True))
-            return np.frombuffer(b"".join([words[w] for w in cut]), self.dtype)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, LATIN_WORDS.findall(text))), self.dtype)
 
 
 @functools.lru_cache(maxsize=2)
