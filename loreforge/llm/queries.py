@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from loreforge.llm import bpe_tree, sharding, simhash, token_files
+from loreforge.llm import bpe_tree, decontam, sharding, simhash, token_files
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op6_simhash_variants": simhash.op6_simhash_variants,
     "op7_stratified_shards": sharding.op7_stratified_shards,
+    "op9_prefix_decontamination": decontam.op9_prefix_decontamination,
     "op10_bpe_tree": bpe_tree.op10_bpe_tree,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_prefix_decontamination": decontam.ORACLE_SQL,
     "op7_stratified_shards": sharding.ORACLE_SQL,
 }
