@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from loreforge.llm import bpe_tree, decontam, sharding, simhash, token_files
+from loreforge.llm import bpe_tree, decontam, secrets, sharding, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity_chain": toxicity.op1_toxicity_chain,
     "op2_token_files": token_files.op2_token_files,
+    "op5_credential_links": secrets.op5_credential_links,
     "op6_simhash_variants": simhash.op6_simhash_variants,
     "op7_stratified_shards": sharding.op7_stratified_shards,
     "op9_prefix_decontamination": decontam.op9_prefix_decontamination,
