@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loreforge.llm import bpe_tree, decontam, inner_products, main_text, secrets, sharding, simhash, token_files, toxicity
+from loreforge.llm import bpe_tree, decontam, inner_products, main_text, private_data, secrets, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity_chain": toxicity.op1_toxicity_chain,
     "op2_token_files": token_files.op2_token_files,
+    "op3_weak_supervision": private_data.op3_weak_supervision,
     "op4_norm_sorted_products": inner_products.op4_norm_sorted_products,
     "op5_credential_links": secrets.op5_credential_links,
     "op6_simhash_variants": simhash.op6_simhash_variants,
