@@ -138,6 +138,12 @@ def encode_column(df: DataFrame, key: list[str], text: str = "text", *, ranks: s
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(key)], "n_tokens", "ids", "decoded")
 
 
+def encoded(spark, docs, sf_dir):
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256 and decoded_sha256 of every document."""
+    out = encode_column(docs, ["doc_id"])
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_bpe_tree(spark, sf_dir):
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     out = encode_column(table(spark, sf_dir, "documents"), ["doc_id"])

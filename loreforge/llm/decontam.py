@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreforge.llm.common import table, text_or_empty, written
+from loreforge.llm.common import fresh, table, text_or_empty, written
 
 WINDOW, GRAM = 13, 4
 #: Contaminated: at least one of so many words is hit.
@@ -107,15 +107,8 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     a null id mark words but aren't counted.  No documents: no rows; no items: none
     is contaminated.
     """
-    body = text_or_empty(text)
-    src = docs.select(F.col(key).alias("k"), body.alias("text")).withColumns({"kk": F.coalesce(F.col("k").cast("string"), F.lit("null")), "th": F.xxhash64("text")})
-    found = occurrences(src, items, ["kk", "th"], window=window, gram=gram)
-    found = written(found.groupBy("kk", "th", "from").agg(F.max("to").alias("to"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids")), "found")
-    before = Window.partitionBy("kk", "th").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.greatest(F.lit(0), F.col("to") - F.greatest(F.col("from"), F.coalesce(F.max("to").over(before), F.lit(0))))
-    hit = found.withColumn("new", new).groupBy("kk", "th").agg(F.sum("new").alias("n_hit"))
-    named = found.select("kk", "th", F.explode("ids").alias("id")).groupBy("kk", "th").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    per_doc = hit.join(named, ["kk", "th"], "left")
+    src = _keyed(docs, key, text)
+    per_doc = _hits(src, items, window, gram)
     out = src.select("k", "kk", "th", n_words(F.col("text")).alias("n_words")).join(per_doc, ["kk", "th"], "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("bigint")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
@@ -125,6 +118,40 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     )
 
 
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """k, text, kk and th: rows that agree in kk and th have equal keys and texts."""
+    src = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text"))
+    return src.withColumns({"kk": F.coalesce(F.col("k").cast("string"), F.lit("null")), "th": F.xxhash64("text")})
+
+
+def _hits(src: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """kk, th, n_hit and ids (sorted item_ids) of the documents in which a window occurs."""
+    found = occurrences(src, items, ["kk", "th"], window=window, gram=gram)
+    found = written(found.groupBy("kk", "th", "from").agg(F.max("to").alias("to"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids")), "found")
+    before = Window.partitionBy("kk", "th").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("to") - F.greatest(F.col("from"), F.coalesce(F.max("to").over(before), F.lit(0))))
+    hit = found.withColumn("new", new).groupBy("kk", "th").agg(F.sum("new").alias("n_hit"))
+    named = found.select("kk", "th", F.explode("ids").alias("id")).groupBy("kk", "th").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return hit.join(named, ["kk", "th"], "left")
+
+
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = WINDOW, gram: int = GRAM, one_in: int = ONE_IN) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that aren't contaminated (see ``report``)."""
+    src = _keyed(docs, key, text)
+    per_doc = written(_hits(src, items, window, gram).select("kk", "th", "n_hit"), "n_hit")
+    few = lambda keys: F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+    bad = src.join(few(per_doc), ["kk", "th"]).where(F.col("n_hit") * one_in >= n_words(F.col("text"))).select("kk", "th").distinct()
+    bad = written(bad, "contaminated")
+    kk, th = fresh(docs.columns, "kk", "th")
+    marked = docs.withColumns({kk: F.coalesce(F.col(key).cast("string"), F.lit("null")), th: F.xxhash64(text_or_empty(text))})
+    return marked.join(few(bad.toDF(kk, th)), [kk, th], "left_anti").select(*docs.columns)
+
+
+def without_contaminated(spark, docs, sf_dir):
+    """The documents that aren't contaminated by the benchmark of ``sf_dir``."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op9_prefix_decontamination(spark, sf_dir):
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

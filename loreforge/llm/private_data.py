@@ -262,6 +262,11 @@ def redact(df: DataFrame, text: str = "text", length: str | None = "n_chars") ->
     return out.select(*final)
 
 
+def without_private_data(spark, docs, sf_dir):
+    """The documents with personal data replaced by its kind."""
+    return redact(docs)
+
+
 def op3_weak_supervision(spark, sf_dir):
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every document."""
     return spans(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from loreforge.llm import bpe_tree, decontam, inner_products, main_text, private_data, secrets, sharding, simhash, token_files, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_path_ratios": main_text.op8_path_ratios,
     "op9_prefix_decontamination": decontam.op9_prefix_decontamination,
     "op10_bpe_tree": bpe_tree.op10_bpe_tree,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -245,7 +245,7 @@ def op1_toxicity_chain(spark, sf_dir):
 
 
 def without_toxic(spark, docs, sf_dir):
-    """The rows whose text the chain, fitted on the labels of ``sf_dir``, doesn't find toxic."""
-    chain = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """The rows whose text the chain, fitted on these rows' labels in ``sf_dir``, doesn't find toxic."""
+    chain = fit(docs, table(spark, sf_dir, "labels"))
     names = fresh(docs.columns, *[f"p_{n}" for n, _ in CATEGORIES], "is_toxic")
     return score(docs, chain, columns=names).where(~F.col(names[-1])).select(*docs.columns)
