@@ -1 +1 @@
-
+"""Column functions: text, scores and stemming."""
