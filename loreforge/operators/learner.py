@@ -7,8 +7,6 @@ learner's answers in order; only one key's answers are together at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,24 +118,24 @@ def card_stats(cards: DataFrame, state: DataFrame, asof: Column, *, card: str =
     return joined.agg(F.count("*").alias("total"), F.count("was").alias("reviewed"), F.count_if(due).alias("due")).withColumn("new", F.col("total") - F.col("reviewed"))
 
 
-def _fold(df: DataFrame, keys: list[str], order: list[str], correct: str, first: float | None, one: Callable) -> DataFrame:
-    begin = F.lit(first).cast("double")
-    return log_of(df, keys, order, [correct]).select(*keys, F.aggregate("log", begin, lambda acc, x: one(acc, x[correct])).alias("mastery"), F.size("log").cast("bigint").alias("attempts"))
-
-
 def mastery_average(df: DataFrame, keys: list[str], order: list[str], *, correct: str = "correct") -> DataFrame:
-    """keys, mastery, attempts: an exponential average, rounded half-even to hundredths after each answer."""
+    """keys, mastery, attempts: an exponential average, rounded half-even to hundredths after each answer (in whole hundredths, so exactly)."""
 
     def one(acc, right):
-        new = scores.clamp(acc * KEEP + right.cast("double") * GAIN, 0.0, 1.0)
-        return F.when(acc.isNull(), F.when(right.cast("int") == 1, FIRST_RIGHT).otherwise(FIRST_WRONG)).otherwise(F.bround(F.bround(new, 9), 2))
+        tenths = acc * int(KEEP * 10) + right.cast("bigint") * int(GAIN * 1000)
+        whole, rest = F.floor(tenths / 10), tenths % 10
+        new = whole + F.when((rest > 5) | ((rest == 5) & (whole % 2 == 1)), 1).otherwise(0)
+        first = F.when(right.cast("int") == 1, int(FIRST_RIGHT * 100)).otherwise(int(FIRST_WRONG * 100))
+        return F.when(acc.isNull(), first).otherwise(new).cast("bigint")
 
-    return _fold(df, keys, order, correct, None, one)
+    out = log_of(df, keys, order, [correct]).withColumn("m", F.aggregate("log", F.lit(None).cast("bigint"), lambda acc, x: one(acc, x[correct])))
+    return out.select(*keys, (F.col("m") / 100).alias("mastery"), F.size("log").cast("bigint").alias("attempts"))
 
 
 def mastery_steps(df: DataFrame, keys: list[str], order: list[str], *, correct: str = "correct") -> DataFrame:
     """keys, mastery, attempts: fixed steps up and down from a half, within 0 and 1."""
-    return _fold(df, keys, order, correct, scores.START, lambda acc, right: scores.clamp(acc + F.when(right.cast("int") == 1, SHIFT).otherwise(-SHIFT), 0.0, 1.0))
+    step = lambda acc, x: scores.clamp(acc + F.when(x[correct].cast("int") == 1, SHIFT).otherwise(-SHIFT), 0.0, 1.0)
+    return log_of(df, keys, order, [correct]).select(*keys, F.aggregate("log", F.lit(scores.START), step).alias("mastery"), F.size("log").cast("bigint").alias("attempts"))
 
 
 def weak_topics(mastery: DataFrame, *, score: str = "mastery", below: float = 0.6, by: list[str]) -> DataFrame:

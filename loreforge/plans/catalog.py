@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loreforge.plans import dashboards, learning, relational, retrieval, texts  # noqa: F401
+from loreforge.plans import dashboards, learning, relational, retrieval, streams, texts  # noqa: F401
 from loreforge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -100,9 +100,9 @@ def card_stats(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE o AS (SELECT student_id, topic, correct, row_number() OVER (PARTITION BY student_id, topic ORDER BY seq) AS i FROM {answers}),
-f AS (SELECT student_id, topic, i, CAST(CASE correct WHEN 1 THEN 0.8 ELSE 0.4 END AS DOUBLE) AS mastery FROM o WHERE i = 1
-UNION ALL SELECT o.student_id, o.topic, o.i, round_even(round_even(greatest(0.0, least(1.0, f.mastery * 0.7::DOUBLE + CAST(o.correct AS DOUBLE) * 0.3::DOUBLE)), 9), 2) FROM f JOIN o ON o.student_id = f.student_id AND o.topic = f.topic AND o.i = f.i + 1)
-SELECT student_id, topic, max_by(mastery, i) AS mastery, max(i) AS attempts FROM f GROUP BY ALL""")
+f AS (SELECT student_id, topic, i, CAST(CASE correct WHEN 1 THEN 80 ELSE 40 END AS BIGINT) AS m FROM o WHERE i = 1
+UNION ALL SELECT o.student_id, o.topic, o.i, CAST(round_even(CAST(f.m * 7 + o.correct * 300 AS DOUBLE) / 10, 0) AS BIGINT) FROM f JOIN o ON o.student_id = f.student_id AND o.topic = f.topic AND o.i = f.i + 1)
+SELECT student_id, topic, max_by(m, i) / 100 AS mastery, max(i) AS attempts FROM f GROUP BY ALL""")
 def mastery_ema(spark, sf_dir):
     """Topic mastery as an exponential average."""
     return learner.mastery_average(role(spark, sf_dir, "answers"), ["student_id", "topic"], ["seq"])
