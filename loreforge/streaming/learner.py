@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loreforge.functions import scores
 
 OUT = "theta double, attempts long, correct long"
-STATE = "seqs array<long>, correct array<int>, difficulty array<double>"
+STATE = "seqs array<long>, correct array<int>, difficulty array<double>, gone array<long>"
 
 
 def step(theta: float, difficulty: float, correct: int, attempts: int) -> float:
@@ -38,17 +38,17 @@ def replay(log: list[tuple[int, int, float]]) -> tuple[float, int, int]:
 def abilities(answers: DataFrame, key: str) -> DataFrame:
     """key, theta, attempts, correct after each micro-batch in which the key has answers.
 
-    ``answers``: a stream with key, seq, correct, difficulty and retracted.  Answers may
-    come in any order and more than once; a seq counts once.
+    ``answers``: a stream with key, seq, correct, difficulty and retracted.  Answers and
+    retractions may come in any order and more than once; a seq counts once.
     """
     kind = answers.schema[key].dataType.simpleString()
 
     def update(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         log: dict[int, tuple[int, float]] = {}
+        gone: set[int] = set()
         if state.exists:
-            seqs, correct, difficulty = state.get
-            log = {s: (c, d) for s, c, d in zip(seqs, correct, difficulty, strict=True)}
-        gone = set()
+            seqs, correct, difficulty, old = state.get
+            log, gone = {s: (c, d) for s, c, d in zip(seqs, correct, difficulty, strict=True)}, set(old)
         for frame in frames:
             for seq, correct, difficulty, retracted in frame[["seq", "correct", "difficulty", "retracted"]].itertuples(index=False):
                 if retracted:
@@ -57,7 +57,7 @@ def abilities(answers: DataFrame, key: str) -> DataFrame:
                     log[int(seq)] = (int(correct), float(difficulty))
         for seq in gone:
             log.pop(seq, None)
-        state.update(([*log], [c for c, _ in log.values()], [d for _, d in log.values()]))
+        state.update(([*log], [c for c, _ in log.values()], [d for _, d in log.values()], [*gone]))
         theta, n, right = replay([(s, c, d) for s, (c, d) in log.items()])
         yield pd.DataFrame({key: [k[0]], "theta": [theta], "attempts": [n], "correct": [right]})
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +14,13 @@ from loreforge.storage import shared_dir
 
 def source(spark: SparkSession, folder: str, table: str, files_at_once: int = 1) -> DataFrame:
     """A table of a folder as a stream, with the schema that it has now."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once)
-    single = reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    path = f"{folder}/{table}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once)
     try:
-        whole = spark.read.format("binaryFile").option("pathGlobFilter", f"{table}.parquet").load(folder).limit(1).count()
-    except Exception:  # noqa: BLE001  a folder of part files instead of a file
-        whole = 0
-    return single if whole else reader.parquet(f"{folder}/{table}.parquet")
+        single = spark.read.format("binaryFile").option("pathGlobFilter", f"{table}.parquet").load(folder).select("path").limit(1).count() == 1
+    except AnalysisException:  # no file of that name, but a folder of part files
+        single = False
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder) if single else reader.parquet(path)
 
 
 def newest(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
