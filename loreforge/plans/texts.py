@@ -199,3 +199,90 @@ def clean_chunks(spark, sf_dir):
 def chunk_report(spark, sf_dir):
     """The whole-table check of built chunks."""
     return quality.chunk_report(_chunked(spark, sf_dir))
+
+
+_LINES = "SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p FROM documents"
+_SQL = lambda p: p.replace("'", "''")
+
+
+@query(f"""WITH p AS ({_LINES}) SELECT doc_id, count(*) FILTER (regexp_matches(p, '\\S') AND (regexp_matches(p, '{_SQL(structure.CODE_START)}') OR regexp_matches(p, '{_SQL(structure.CODE_ANYWHERE)}'))) AS code,
+count(*) FILTER (regexp_matches(p, '{structure.MATH_SIGN}') OR (regexp_matches(p, '{structure.MATH_TERM}') AND (length(regexp_replace(p, '[^=+\\-*/^()\\[\\]]', '', 'g')) >= 2 OR len(regexp_extract_all(p, '\\S+')) <= 16))) AS math FROM p GROUP BY doc_id""")
+def code_and_math_lines(spark, sf_dir):
+    """Lines of code and of mathematics."""
+    p = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("p"))
+    return p.groupBy("doc_id").agg(F.count_if(structure.is_code(F.col("p"))).alias("code"), F.count_if(structure.is_math(F.col("p"))).alias("math"))
+
+
+@query("SELECT doc_id, translate(replace(replace(replace(coalesce(text, '') || ' ﬁn ﬂy oﬃce', 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), chr(160), ' ') AS text FROM documents")
+def normalised_text(spark, sf_dir):
+    """Ligatures and hard spaces spelled out."""
+    return _docs(spark, sf_dir).select("doc_id", text.normalise_characters(F.concat("text", F.lit(" ﬁn ﬂy oﬃce"))).alias("text"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 2500 || ' ' || coalesce(text, '') AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(t, '^[0-9]{1,4}\\s+[A-Z][a-z]') AND NOT doc_id % 2500 BETWEEN 1900 AND 2099 THEN regexp_replace(t, '^[0-9]{1,4}\\s+', '') ELSE t END AS text FROM d""")
+def leading_page_numbers(spark, sf_dir):
+    """Page numbers stuck to a text's start go, years stay."""
+    d = _docs(spark, sf_dir).select("doc_id", F.concat((F.col("doc_id") % 2500).cast("string"), F.lit(" "), "text").alias("t"))
+    return d.select("doc_id", text.drop_leading_page_number(F.col("t")).alias("text"))
+
+
+@query(f"""WITH p AS ({_LINES}), w AS (SELECT doc_id, p, list_filter(string_split_regex(p, '\\s+'), lambda x: x != '') AS w FROM p), s AS (SELECT doc_id, len(w) >= 8 AND length(p) <= 160 AND len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}'))) / len(w) >= 0.3 AS loose, len(w) AS n FROM w)
+SELECT doc_id, count(*) FILTER (loose) AS loose, CAST(sum(n) AS BIGINT) AS words FROM s GROUP BY doc_id""")
+def single_letter_lines(spark, sf_dir):
+    """Lines with many single letters, as spaced-out titles have."""
+    p = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("p")).withColumn("w", text.words(F.col("p")))
+    share = F.size(F.filter("w", lambda x: x.rlike(r"^\p{L}$"))) / F.greatest(F.size("w"), F.lit(1))
+    return p.groupBy("doc_id").agg(F.count_if((F.size("w") >= 8) & (F.length("p") <= 160) & (share >= 0.3)).alias("loose"), F.sum(F.size("w")).alias("words"))
+
+
+_N = "len(regexp_extract_all(t, '\\S+'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 17 = 0 AS ex FROM documents), m AS (SELECT *, len(regexp_extract_all(t, '{cleanup.REFERENCE}')) AS refs, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{cleanup.LEADER}'))) AS leaders,
+len(list_filter(regexp_extract_all(t, '\\S+'), lambda w: regexp_full_match(w, '[\\p{{Nd}}.,()%+\\-−]+'))) / greatest({_N}, 1) AS num FROM d)
+SELECT doc_id, CASE WHEN refs >= 3 AND refs / greatest({_N}, 1) * 100 >= 2 THEN 'reference_list' WHEN ex THEN 'exercise' WHEN leaders >= 3 THEN 'outline' WHEN {_N} < 15 OR (num > 0.5 AND {_N} < 80) THEN 'tiny_or_numeric' END AS reason FROM m""")
+def exclusion_reasons(spark, sf_dir):
+    """Why texts stay out of the index."""
+    return _docs(spark, sf_dir).select("doc_id", cleanup.exclude_reason(F.col("text"), F.col("doc_id") % 17 == 0).alias("reason"))
+
+
+@query("""SELECT conv_id, turn, format('C{}_CHUNK_{:05d}', conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)) AS chunk_id,
+CAST(coalesce(sum(len(regexp_extract_all(coalesce(text, ''), '\\S+'))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS words_before FROM conversations""")
+def numbered_pieces(spark, sf_dir):
+    """Ids by place, and how many words come before."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    n = text.word_count(F.coalesce("text", F.lit("")))
+    before = F.coalesce(F.sum(n).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.format_string("C%d_CHUNK_%05d", "conv_id", F.row_number().over(by)).alias("chunk_id"), before.alias("words_before"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN CAST(turn + 1 AS VARCHAR) WHEN turn % 3 = 1 THEN '0' ELSE '' END AS chapter, 'T' || turn AS title FROM conversations)
+SELECT conv_id, turn, coalesce(last_value(CASE WHEN chapter NOT IN ('', '0') THEN chapter END IGNORE NULLS) OVER w, chapter) AS chapter, coalesce(last_value(CASE WHEN chapter NOT IN ('', '0') THEN title END IGNORE NULLS) OVER w, title) AS chapter_title
+FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def inherited_labels(spark, sf_dir):
+    """Labels carried forward over rows that have none."""
+    chapter = F.when(F.col("turn") % 3 == 0, (F.col("turn") + 1).cast("string")).when(F.col("turn") % 3 == 1, "0").otherwise("")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", chapter.alias("chapter"), F.concat(F.lit("T"), F.col("turn").cast("string")).alias("chapter_title"))
+    return cleanup.inherit_chapter(c, ["conv_id"], ["turn"], ("chapter", "chapter_title"))
+
+
+@query("""WITH l AS (SELECT source AS book_id, doc_id AS page, unnest(string_split('Head of ' || source || chr(10) || coalesce(text, ''), chr(10))) AS raw, unnest(range(1 + len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+s AS (SELECT book_id, page, i, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS s FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY book_id, page ORDER BY i) AS a, row_number() OVER (PARTITION BY book_id, page ORDER BY i DESC) AS z FROM s WHERE s != ''),
+c AS (SELECT book_id, s, count(DISTINCT page) AS n FROM n WHERE (a <= 5 OR z <= 5) AND length(s) BETWEEN 5 AND 100 GROUP BY ALL), p AS (SELECT book_id, count(DISTINCT page) AS pages FROM l GROUP BY book_id)
+SELECT book_id, s FROM c JOIN p USING (book_id) WHERE n >= greatest(6, CAST(trunc(pages * 0.35::DOUBLE) AS INT))""")
+def repeated_edges(spark, sf_dir):
+    """Lines that recur at the edges of a book's pages."""
+    d = _docs(spark, sf_dir)
+    lines = d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("page"), F.posexplode(F.split(F.concat(F.lit("Head of "), "source", F.lit("\n"), "text"), "\n")).alias("line_no", "line"))
+    return structure.repeated_edges(lines)
+
+
+@query("""WITH i AS (SELECT DISTINCT l_suppkey % 25 AS book_id, l_partkey % 40 AS page_number, l_orderkey % 1000 AS xref, CAST(l_quantity * 10 AS INT) AS width, CAST(l_discount * 1000 + 5 AS INT) AS height FROM lineitem)
+SELECT count(*) AS n, count(DISTINCT book_id) AS books FROM (SELECT DISTINCT book_id, page_number, xref FROM i WHERE width >= 64 AND height >= 64 AND width / height <= 15 AND height / width <= 15)""")
+def kept_pictures(spark, sf_dir):
+    """Pictures of a page, once each, without icons and rules."""
+    from loreforge.sources import images
+
+    i = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 25 AS book_id", "l_partkey % 40 AS page_number", "l_orderkey % 1000 AS xref", "cast(l_quantity * 10 as int) AS width", "cast(l_discount * 1000 + 5 as int) AS height")
+    return images.keep_pictures(i).agg(F.count("*").alias("n"), F.countDistinct("book_id").alias("books"))

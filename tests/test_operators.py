@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreforge.operators import activity, cleanup, exam, generation, graph, learner, quality, search, structure, upserts
-from loreforge.sources import catalog, images, outlines, paged, records
+from loreforge.sources import catalog, images, loading, outlines, paged, records
 
 D = datetime.date
 
@@ -303,3 +303,18 @@ def test_records(spark, tmp_path):
     assert [r.bad for r in records.malformed(spark, str(tmp_path / "a.jsonl")).collect()] == [1]
     records.write(got.where("chunk_id is not null").select("chunk_id", "text"), str(tmp_path / "out"))
     assert records.read(spark, str(tmp_path / "out")).first().text == "é"
+
+
+def test_loading(spark):
+    import numpy as np
+
+    c = spark.createDataFrame([("c1", "C", "T", None, "one", 1, 2, False), ("c2", "C", "T", "crumb", None, 3, 3, False), ("c3", "C", "T", None, "three", 9, 9, False)], "chunk_id string, book_id string, book_title string, breadcrumb string, text string, page_start int, page_end int, contains_figure boolean")
+    pics = spark.createDataFrame([("C", 2, "p2"), ("C", 1, "p1"), ("C", 2, "p1"), ("D", 3, "x")], "book_id string, page_number int, image_id string")
+    got = {r.chunk_id: r for r in loading.load(c, pics, lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]), most=2).collect()}
+    assert set(got) == {"c1", "c2"}
+    assert (got["c1"].image_paths, got["c1"].contains_figure, got["c1"].search_text) == (["p1", "p2"], True, "[T]\n\none")
+    assert (got["c2"].image_paths, got["c2"].contains_figure, got["c2"].breadcrumb) == ([], False, "crumb")
+    assert sum(x * x for x in got["c1"].embedding) == pytest.approx(1)
+    old, new = spark.createDataFrame([("a", "A")], "username string, name string"), spark.createDataFrame([("a", "B"), ("b", "C")], "username string, name string")
+    assert rows(loading.exported(old, new, "students")) == [("a", "B"), ("b", "C")]
+    assert loading.books(spark).count() == 4
