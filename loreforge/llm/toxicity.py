@@ -25,7 +25,7 @@ from loreforge.llm.common import bounded_batches, fresh, slices, table, text_or_
 
 #: Bounds of the training sample: rows, and characters of their texts.
 SAMPLE_ROWS, SAMPLE_CHARS = 10_000, 200_000_000
-FOLDS, PER_CATEGORY, LEAST_ROWS, RIDGE, DRAW = 5, 64, 2, 1.0, "toxicity"
+FOLDS, PER_CATEGORY, LEAST_ROWS, RIDGE, DRAW = 5, 200, 3, 1.0, "toxicity"
 PREFIXES = (3, 4, 5, 6)
 LONGEST_WORD = 40
 #: Categories in the chain's order, as conditions on a row of labels; the last one decides.
@@ -94,52 +94,54 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the bias comes last and isn't shrunk.  One class only: its smoothed share as bias."""
-    n, d = x.shape
-    w = np.zeros(d + 1)
-    ones = float(y.sum())
-    w[-1] = np.log((ones + 0.5) / (n - ones + 0.5))
-    if ones in (0.0, float(n)):
+def fit_linear(x: np.ndarray, ones: np.ndarray, n: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
+    """Ridge logistic regression by Newton's method; row i stands for n[i] texts, ones[i] of them in the class.
+
+    The bias comes last and isn't shrunk.  One class only: its smoothed share as bias.
+    """
+    total, yes = float(n.sum()), float(ones.sum())
+    w = np.zeros(x.shape[1] + 1)
+    w[-1] = np.log((yes + 0.5) / (total - yes + 0.5))
+    if yes in (0.0, total):
         return w
-    full = np.column_stack([x, np.ones(n)])
-    shrink = np.full(d + 1, ridge)
+    full = np.column_stack([x, np.ones(len(x))])
+    shrink = np.full(len(w), ridge)
     shrink[-1] = 1e-6
     for _ in range(steps):
         p = _sigmoid(full @ w)
-        step = np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + np.diag(shrink), full.T @ (y - p) - shrink * w)
+        step = np.linalg.solve((full * (n * p * (1 - p))[:, None]).T @ full + np.diag(shrink), full.T @ (ones - n * p) - shrink * w)
         w += step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
 
-def fit_chain(features: list[str], x: np.ndarray, y: np.ndarray, fold: np.ndarray, names: list[str]) -> Chain:
-    """``y``: a column for each category.  The threshold is the last link's best F1 out of fold."""
+def fit_chain(features: list[str], x: np.ndarray, ones: np.ndarray, n: np.ndarray, fold: np.ndarray, names: list[str]) -> Chain:
+    """``ones``: a column for each category; equal rows of one fold may be taken together.  The threshold is the last link's best F1 out of fold."""
     chain = Chain(features)
-    if not len(y):
-        chain.links = [Link(n, np.append(np.zeros(len(features) + i), -30.0)) for i, n in enumerate(names)]
+    if not len(n):
+        chain.links = [Link(name, np.append(np.zeros(len(features) + i), -30.0)) for i, name in enumerate(names)]
         return chain
-    earlier = np.zeros((len(y), 0))
+    earlier = np.zeros((len(n), 0))
     for c, name in enumerate(names):
         at = np.column_stack([x, earlier])
-        held_out = np.zeros(len(y))
+        held_out = np.zeros(len(n))
         for f in np.unique(fold):
             rest = fold != f
-            w = fit_linear(at[rest], y[rest, c]) if rest.any() else fit_linear(at, y[:, c])
+            w = fit_linear(at[rest], ones[rest, c], n[rest]) if rest.any() else fit_linear(at, ones[:, c], n)
             held_out[~rest] = _sigmoid(at[~rest] @ w[:-1] + w[-1])
-        chain.links.append(Link(name, fit_linear(at, y[:, c])))
+        chain.links.append(Link(name, fit_linear(at, ones[:, c], n)))
         earlier = np.column_stack([earlier, held_out])
-    chain.threshold = best_threshold(earlier[:, -1], y[:, -1])
+    chain.threshold = best_threshold(earlier[:, -1], ones[:, -1], n)
     return chain
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+def best_threshold(p: np.ndarray, ones: np.ndarray, n: np.ndarray) -> float:
     """The cut in [0.05, 0.95] of the highest F1; the one nearest to a half where several are as good."""
     cuts = np.arange(5, 96) / 100
-    hit = np.array([((p >= t) & (y == 1)).sum() for t in cuts], float)
-    said = np.array([(p >= t).sum() for t in cuts], float)
-    f1 = 2 * hit / np.maximum(said + y.sum(), 1)
+    hit = np.array([ones[p >= t].sum() for t in cuts], float)
+    said = np.array([n[p >= t].sum() for t in cuts], float)
+    f1 = 2 * hit / np.maximum(said + ones.sum(), 1)
     return float(min(cuts[f1 >= f1.max() - 1e-12], key=lambda t: abs(t - 0.5)))
 
 
@@ -183,8 +185,19 @@ def _select(sample: DataFrame, n: int, per_category: int) -> list[str]:
         a, df = F.col(f"a{i}").cast("double"), F.col("df").cast("double")
         excess = a * all_rows - df * ones
         chi = F.when(excess > 0, excess * excess / (df * (all_rows - df + 0.5) * ones * (all_rows - ones)))
-        for r in seen.select("f", chi.alias("chi")).where("chi is not null").orderBy(F.desc("chi"), "f").limit(per_category).collect():
+        counts = ["df", *[f"a{j}" for j in range(n)]]
+        same: dict[tuple, list[str]] = {}  # features of this category by their counts
+        left = per_category
+        for r in seen.select("f", chi.alias("chi"), *counts).where("chi is not null").orderBy(F.desc("chi"), F.length("f"), "f").limit(8 * per_category).collect():
+            # A start that is in as many texts of each kind as a chosen one that it begins, or that begins it, is in the same ones.
+            bare, alike = r.f.rstrip("*"), same.setdefault(tuple(r[c] for c in counts), [])
+            if any(bare.startswith(x) or x.startswith(bare) for x in alike):
+                continue
+            alike.append(bare)
             out[r.f] = None
+            left -= 1
+            if not left:
+                break
     return list(out)
 
 
@@ -207,12 +220,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     cols = [*[f"c{i}" for i in range(len(names))], "fold"]
     got = sample.select("body", *cols).mapInArrow(run, ", ".join(["on binary", *[f"{c} int" for c in cols]])).collect()  # at most ``rows`` of them, each of at most 4 bytes a feature
-    got.sort(key=lambda r: (bytes(r.on), tuple(r)[1:]))
-    x = np.zeros((len(got), len(chosen)))
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(bytes(r.on), np.int32)] = 1
-    y = np.array([[r[c] for c in cols[:-1]] for r in got], float).reshape(len(got), len(names))
-    return fit_chain(chosen, x, y, np.array([r.fold for r in got], int), names)
+    rows_: dict[tuple, np.ndarray] = {}
+    for r in got:
+        at = rows_.setdefault((r.fold, bytes(r.on)), np.zeros(len(names) + 1))
+        at += [1, *(r[c] for c in cols[:-1])]
+    keys = sorted(rows_)
+    x = np.zeros((len(keys), len(chosen)))
+    for i, (_, on) in enumerate(keys):
+        x[i, np.frombuffer(on, np.int32)] = 1
+    y = np.array([rows_[k] for k in keys]).reshape(len(keys), len(names) + 1)
+    return fit_chain(chosen, x, y[:, 1:], y[:, 0], np.array([f for f, _ in keys], int), names)
 
 
 def score(df: DataFrame, chain: Chain, text: str = "text", *, columns: list[str] | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def test_later_links_take_held_out_probabilities():
     rng = np.random.default_rng(3)
     x = (rng.random((200, 5)) < 0.3).astype(float)
     y = np.column_stack([x[:, 0], x[:, 0] * (rng.random(200) < 0.9)])
-    chain = X.fit_chain(list("abcde"), x, y, np.arange(200) % 5, ["one", "two"])
+    chain = X.fit_chain(list("abcde"), x, y, np.ones(200), np.arange(200) % 5, ["one", "two"])
     assert [len(link.weights) for link in chain.links] == [6, 7]
     assert chain.links[1].weights[5] > 0
     p = chain.probabilities(np.array([0]))
@@ -71,3 +71,20 @@ def test_one_class_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (3, "c")], "doc_id bigint, text string")
     chain = X.fit(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int"))
     assert [r.is_toxic for r in X.score(docs, chain).collect()] == [False] * 4
+
+
+def test_rare_kinds_are_learned(spark):
+    """A tenth of the toxic texts is in another language, whose words are far behind in chi-square."""
+    rng = random.Random(7)
+    docs, labels = [], []
+    for i in range(3000):
+        toxic = rng.random() < 0.15
+        text = [f"w{rng.randrange(400)}" for _ in range(40)]
+        if toxic:
+            text += [f"zorq{rng.choice('abcdefgh')}{rng.randrange(9)}" for _ in range(3)] if rng.random() < 0.1 else rng.sample(["grunk", "blarg", "snort", "fleem", "krill", "plonk", "dweeb", "twerp", "nitwit", "dolt"], 4)
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    chain = X.fit(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").where("doc_id % 2 = 0"))
+    got = {r.doc_id: r.is_toxic for r in X.score(df, chain).collect()}
+    assert sum(got[i] == bool(t) for i, _, t in labels if i % 2) / 1500 > 0.995
