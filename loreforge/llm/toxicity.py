@@ -26,6 +26,9 @@ from loreforge.llm.common import bounded_batches, fresh, slices, table, text_or_
 #: Bounds of the training sample: rows, and characters of their texts.
 SAMPLE_ROWS, SAMPLE_CHARS = 10_000, 200_000_000
 FOLDS, PER_CATEGORY, LEAST_ROWS, RIDGE, DRAW = 5, 200, 3, 1.0, "toxicity"
+#: Of two features, one of which begins the other, the second chosen is left out if both are in as many texts of each kind, or in
+#: more than ALIKE_ROWS of the category's and the smaller in this share of the larger's.
+ALIKE, ALIKE_ROWS = 0.5, 20
 PREFIXES = (3, 4, 5, 6)
 LONGEST_WORD = 40
 #: Categories in the chain's order, as conditions on a row of labels; the last one decides.
@@ -186,17 +189,15 @@ def _select(sample: DataFrame, n: int, per_category: int) -> list[str]:
         excess = a * all_rows - df * ones
         chi = F.when(excess > 0, excess * excess / (df * (all_rows - df + 0.5) * ones * (all_rows - ones)))
         counts = ["df", *[f"a{j}" for j in range(n)]]
-        same: dict[tuple, list[str]] = {}  # features of this category by their counts
-        left = per_category
+        taken: list[tuple] = []  # of this category: words without the mark of a start, and their texts
         for r in seen.select("f", chi.alias("chi"), *counts).where("chi is not null").orderBy(F.desc("chi"), F.length("f"), "f").limit(8 * per_category).collect():
-            # A start that is in as many texts of each kind as a chosen one that it begins, or that begins it, is in the same ones.
-            bare, alike = r.f.rstrip("*"), same.setdefault(tuple(r[c] for c in counts), [])
-            if any(bare.startswith(x) or x.startswith(bare) for x in alike):
+            # What a chosen feature begins, or begins with, is in the same texts, or all but some; it would keep out rarer words.
+            bare, at, has = r.f.rstrip("*"), r[f"a{i}"], tuple(r[c] for c in counts)
+            if any((bare.startswith(x) or x.startswith(bare)) and (has == texts or min(at, texts[i + 1]) >= max(ALIKE * max(at, texts[i + 1]), ALIKE_ROWS)) for x, texts in taken):
                 continue
-            alike.append(bare)
+            taken.append((bare, has))
             out[r.f] = None
-            left -= 1
-            if not left:
+            if len(taken) == per_category:
                 break
     return list(out)
 
