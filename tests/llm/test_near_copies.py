@@ -77,6 +77,17 @@ def test_stated_share_is_found(spark):
     assert N.share_found(0.8) > 0.93 and N.share_found(0.9) > 0.99
 
 
+def test_a_repeated_line_does_not_part_copies(spark):
+    rng = random.Random(7)
+    texts = []
+    for times in (10, 20, 40, 80) * 5:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(words + [f"r{rng.randrange(10**6)}" for _ in range(9)] * times)]
+    assert all(jaccard(a, b) > 0.9 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    got = {r.key: r.least for r in N.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert all(got[i] == i - i % 2 for i in got)
+
+
 def test_one_of_each(spark, documents):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
