@@ -88,6 +88,17 @@ def test_a_repeated_line_does_not_part_copies(spark):
     assert all(got[i] == i - i % 2 for i in got)
 
 
+def test_equal_fingerprints_are_verified(spark):
+    """A line repeated so often that it would decide all 64 bits of a fingerprint; the texts have little else in common."""
+    rng = random.Random(8)
+    line = [f"r{i}" for i in range(9)] * 40
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(100)] + line) for _ in range(6)]
+    assert all(jaccard(a, b) < 0.1 for a in texts for b in texts if a is not b)
+    assert N.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).count() == 6
+    hashes = [np.unique(shingle_hashes(t, 5)[0]) for t in texts]
+    assert len({N._set_name(h) for h in hashes}) == 6 and N._set_name(hashes[0]) == N.text_lanes(texts[0].upper())[0]
+
+
 def test_one_of_each(spark, documents):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
