@@ -132,6 +132,23 @@ def test_crowds_are_linked(spark):
         N.CHUNK = old
 
 
+def test_buckets_do_not_end_with_batches(spark):
+    """A bucket of 100 rows that are far from each other, then 100 copies of them in later Arrow batches."""
+    rng = random.Random(9)
+    marks = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(100)]
+    rows = [(1000 * copy + i, *marks[i], *[7] * N.LANES) for copy in (0, 1) for i in range(100)]
+    lanes = spark.createDataFrame(rows, "f bigint, g bigint, h bigint, " + ", ".join(f"l{i} bigint" for i in range(N.LANES)))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        for size in (30, 100, 10000):
+            spark.conf.set(name, str(size))
+            said = {frozenset((r.a, r.b)) for r in N.candidate_links(lanes).collect()}
+            assert said == {frozenset((i, 1000 + i)) for i in range(100)}
+    finally:
+        spark.conf.set(name, old)
+
+
 def test_no_documents(no_documents):
     assert N.one_of_each(no_documents).collect() == []
 
