@@ -149,6 +149,38 @@ def test_buckets_do_not_end_with_batches(spark):
         spark.conf.set(name, old)
 
 
+def test_true_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < 0.9], rng.integers(0, 1 << 63, 5).astype(np.uint64)])) for _ in range(60)]
+    old = N.TOKENS
+    try:
+        for N.TOKENS in (7, 4096):
+            assert N.in_common(sets, sets[:9]).tolist() == [[len(np.intersect1d(x, y)) for y in sets[:9]] for x in sets]
+            a, b = N.true_links(sets[:40], sets[40:], 0.8)
+            said = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
+            true = {frozenset((i, j)) for i in range(40) for j in range(40, 60) if (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
+            assert 0 < len(true) < 800 and said <= true and all(len({i for p in said for i in p} & p) == 2 for p in true)
+    finally:
+        N.TOKENS = old
+
+
+def test_every_member_of_a_crowd_meets_its_base(spark):
+    """A base and 1500 edited copies: all are near the base, and under 0.8 to each other."""
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for _ in range(1500):
+        mine = list(words)
+        for at in rng.sample(range(2, 398, 5), 8):
+            mine[at] = f"z{rng.randrange(10**9)}"
+        texts.append(" ".join(mine))
+    assert min(jaccard(" ".join(words), t) for t in texts) > 0.81 and max(jaccard(x, y) for i, x in enumerate(texts[:60]) for y in texts[:i]) < 0.8
+    rows = [*enumerate(texts), (1500, " ".join(words))]
+    got = N.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).select("least", "n").distinct().collect()
+    assert [tuple(r) for r in got] == [(0, 1501)]
+
+
 def test_no_documents(no_documents):
     assert N.one_of_each(no_documents).collect() == []
 
