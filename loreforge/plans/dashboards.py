@@ -54,7 +54,7 @@ def overview_totals(spark, sf_dir):
 
 def _mastery(spark, sf_dir):
     q = role(spark, sf_dir, "questions").select("question_id", "book_id", "chapter")
-    a = role(spark, sf_dir, "answers").join(q, "question_id").where("chapter in ('1', '2')")
+    a = role(spark, sf_dir, "answers").join(q, "question_id")
     return a.groupBy("book_id", "chapter").agg(F.avg("correct").alias("theta"), F.count("*").alias("attempts"))
 
 
@@ -93,7 +93,7 @@ def study_resources(spark, sf_dir):
 SELECT coalesce(a.book_id, b.book_id) AS book_id, CAST(trunc(coalesce(a, round_even(mastery * 100, 1), 0)) AS INTEGER) AS progress FROM a FULL JOIN b ON a.book_id = b.book_id""")
 def subject_progress(spark, sf_dir):
     """Progress in percent, from abilities or else from topic mastery."""
-    m = _mastery(spark, sf_dir).where("book_id < 'Brand#2'")
+    m = _mastery(spark, sf_dir)
     b = role(spark, sf_dir, "questions").where("slot = 'T2'").select("book_id", F.col("difficulty").alias("mastery"))
     return activity.subject_progress(m, b, "book_id")
 

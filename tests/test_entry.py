@@ -35,6 +35,9 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 #: Cuts of registered SQL that their queries don't make, and what the SQL without them says.
 WHOLE = {
+    "focus_areas": [(" WHERE q.chapter IN ('1', '2')", "")],
+    "focus_fill": [(" WHERE q.chapter IN ('1', '2')", "")],
+    "subject_progress": [(" WHERE q.chapter IN ('1', '2')", ""), (" WHERE book_id < 'Brand#2'", "")],
     "next_item_pick": [(" WHERE c_custkey % 10 = 0", "")],
 }
 
