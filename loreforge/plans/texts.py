@@ -123,7 +123,7 @@ def keyword_match(spark, sf_dir):
 @query("""SELECT doc_id, upper(substring(text, 1, 1)) || substring(text, 2) AS shown, lpad(CAST(n_chars // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS clock FROM documents WHERE text IS NOT NULL AND n_chars < 6000""")
 def shown_text(spark, sf_dir):
     """Capitalised texts, and lengths as minutes and seconds."""
-    d = table(spark, sf_dir, "documents").where("text is not null and n_chars < 6000")
+    d = table(spark, sf_dir, "documents").where("text is not null")
     return d.select("doc_id", text.capitalise_first(F.col("text")).alias("shown"), text.minutes_seconds(F.col("n_chars")).alias("clock"))
 
 

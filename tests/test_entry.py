@@ -39,6 +39,7 @@ WHOLE = {
     "focus_fill": [(" WHERE q.chapter IN ('1', '2')", "")],
     "subject_progress": [(" WHERE q.chapter IN ('1', '2')", ""), (" WHERE book_id < 'Brand#2'", "")],
     "next_item_pick": [(" WHERE c_custkey % 10 = 0", "")],
+    "shown_text": [(" AND n_chars < 6000", ""), ("lpad(CAST(n_chars // 60 AS VARCHAR), 2,", "lpad(CAST(n_chars // 60 AS VARCHAR), CAST(greatest(2, length(CAST(n_chars // 60 AS VARCHAR))) AS INTEGER),")],
 }
 
 
