@@ -1,12 +1,15 @@
 """Main-text extraction from HTML by tag-path ratios.
 
 A page is read once into its blocks of text, each with its tag path from the root
-(block elements with their first class).  Text length and punctuation are
-aggregated over all blocks of a path; both ratios are smoothed over the page's
-blocks, fused, and thresholded.  The paths above the threshold are content; the
-smallest element that holds nearly all of their text is the article, and all of its
-blocks are returned but for those of menus, forms, adverts, comments and the like,
-so that a heading or a short paragraph isn't lost.
+(block elements with their first class).  For every path, text length (without links)
+and punctuation are summed over all blocks on it and below it and divided by their
+number.  Both ratios are smoothed along the path, from the outside in, and over
+neighbouring blocks; then they are fused, weighed by what the elements say of themselves,
+and thresholded: the blocks of the paths above the threshold are the text.
+
+Tags and class words are an input of the scores only: a menu, form, advert or
+comment weighs nothing, a marked article weighs more and its paths have at least the
+article's own ratios, so that its short headings and lists go with it.
 """
 
 from __future__ import annotations
@@ -40,23 +43,25 @@ PAGE_HEAD = frozenset("header topbar".split())
 #: In "page-with-sidebar" the other words say what an element stands beside.
 LAYOUT_WORDS = frozenset("with without has no".split())
 ARTICLE = frozenset(("article", "main"))
-SECTIONS, HEADINGS = frozenset("div section body html center".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements around everything, which say nothing about a path, and headings, which go with what they stand over.
+PAGE, HEADINGS = frozenset(("", "html", "body")), frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡؟।]")
 _ATTRIBUTES = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*+>""")
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
-#: Smoothing weights of a block's neighbours, by distance; share of the mean that is the threshold; share of content text that the article holds;
-#: links' share of a menu's text; what else an unmarked article may take in, as a share of its text.
-WEIGHTS, SHARE, HELD, MOST_LINKS, LITTLE = (1.0, 0.6, 0.2), 0.5, 0.9, 0.7, 0.3
+#: Elements whose text is never shown.
+UNSEEN = frozenset("script style noscript template iframe svg math canvas object head title".split())
+#: The weight of what is around a path against its own ratio, of a neighbour against a block; of a marked article against the rest; the threshold's share of the mean.
+AROUND, BESIDE, MARKED, SHARE = 0.7, 0.25, 4.0, 0.4
 
 
 @dataclass(slots=True)
 class Element:
     parent: int
     tag: str
-    path: str
-    #: Its own, until _settle: 0: may be content; 1: its words say that it isn't; 2: never content.
+    first: str
+    #: Its own, until _settle: 0: may be content; 1: its words say that it isn't; 2: its tag does; 3: never shown.
     kind: int
     #: Whether it, or something around it, is an article.
     inside: bool
@@ -72,7 +77,7 @@ class Block:
 def _kind(tag: str, attributes: str, inside: bool) -> tuple[int, str]:
     """(kind, first class) by tag and attributes."""
     if tag in NEVER:
-        return 2, ""
+        return 3 if tag in UNSEEN else 2, ""
     kind, first = (2, "") if tag == "header" and not inside else (0, "")
     if "=" not in attributes:
         return kind, first
@@ -138,17 +143,19 @@ class Reader:
             at = self.elements[self.stack[-1]]
         kind, first = _kind(tag, attributes, at.inside)
         inside = at.inside or (tag in ARTICLE and kind == 0)
-        self.elements.append(Element(self.stack[-1], tag, f"{at.path}/{tag}.{first}" if first else f"{at.path}/{tag}", kind, inside))
+        self.elements.append(Element(self.stack[-1], tag, first, kind, inside))
         self.stack.append(len(self.elements) - 1)
 
     def _end(self, tags: set[str], scopes: set[str]) -> None:
+        ends = None  # the outermost within the scope
         for i in range(len(self.stack) - 1, 0, -1):
             tag = self.elements[self.stack[i]].tag
             if tag in scopes:
-                return
+                break
             if tag in tags:
-                del self.stack[i:]
-                return
+                ends = i
+        if ends:
+            del self.stack[ends:]
 
     def _close(self, tag: str) -> None:
         if tag in INLINE:
@@ -206,9 +213,9 @@ class Reader:
 
 def _settle(elements: list[Element]) -> None:
     """Pass exclusion on to what is inside.  An element that only its words exclude stays if it holds the article."""
-    hard = [e.kind == 2 for e in elements]
+    hard = [e.kind if e.kind > 1 else 0 for e in elements]
     for i, e in enumerate(elements[1:], 1):
-        hard[i] |= hard[e.parent]
+        hard[i] = max(hard[i], hard[e.parent])
     if any(e.kind == 1 for e in elements):
         holds = [e.tag in ARTICLE and e.kind == 0 and not elements[e.parent].inside for e in elements]
         for i in range(len(elements) - 1, 0, -1):
@@ -217,81 +224,101 @@ def _settle(elements: list[Element]) -> None:
             if e.kind == 1 and e.tag not in ARTICLE and holds[i]:
                 e.kind = 0
     for i, e in enumerate(elements[1:], 1):
-        e.kind = 2 if hard[i] else max(e.kind, elements[e.parent].kind)
+        e.kind = hard[i] or max(e.kind, elements[e.parent].kind)
 
 
-def path_scores(elements: list[Element], blocks: list[Block]) -> list[float]:
-    """The fused ratio of each block's path, smoothed over its neighbours."""
-    stats: dict[str, list[int]] = {}
-    for b in blocks:
-        s = stats.setdefault(elements[b.element].path, [0, 0, 0])
-        s[0] += 1
-        s[1] += len(b.text) - b.links
-        s[2] += len(PUNCTUATION.findall(b.text))
-    length = [stats[elements[b.element].path][1] / stats[elements[b.element].path][0] for b in blocks]
-    marks = [stats[elements[b.element].path][2] / stats[elements[b.element].path][0] for b in blocks]
-    smooth = lambda x: [sum(w * (x[i - d] + x[i + d] if d else x[i]) for d, w in enumerate(WEIGHTS) if 0 <= i - d and i + d < len(x)) for i in range(len(x))]
-    return [(a * (1 + b)) ** 0.5 for a, b in zip(smooth(length), smooth(marks), strict=True)]
-
-
-def _widened(elements: list[Element], blocks: list[Block], root: int, total: int) -> int:
-    """The article around ``root`` if one is marked; else the largest element around it that adds little but headings."""
-    above = root
-    while above > 0:
-        if elements[above].tag in ARTICLE:
-            return above
-        above = elements[above].parent
-    size, headings = [0] * len(elements), [0] * len(elements)
+@dataclass(slots=True)
+class Path:
+    """A tag path.  n, length, marks: of the blocks on it and below it; here: blocks on it; the ratios are smoothed along the path."""
+
+    parent: int
+    tag: str
+    weight: float
+    inside: bool
+    n: int = 0
+    length: int = 0
+    marks: int = 0
+    here: int = 0
+    ratios: tuple[float, float] = (0.0, 0.0)
+    floor: tuple[float, float] = (0.0, 0.0)
+
+
+def tag_paths(elements: list[Element], blocks: list[Block]) -> tuple[list[Path], list[int]]:
+    """The paths of a page with their ratios, outer ones first, and each element's path."""
+    paths: list[Path] = []
+    ids: dict[tuple, int] = {}
+    of = []
+    for e in elements:
+        key = (of[e.parent] if of else -1, e.tag, e.first, e.kind > 0, e.inside)
+        if key not in ids:
+            ids[key] = len(paths)
+            paths.append(Path(key[0], e.tag, 0.0 if e.kind else MARKED if e.inside else 1.0, e.inside))
+        of.append(ids[key])
     for b in blocks:
-        size[b.element] += len(b.text)
-        headings[b.element] += len(b.text) if elements[b.element].tag in HEADINGS else 0
-    for i in range(len(elements) - 1, 0, -1):
-        size[elements[i].parent] += size[i]
-        headings[elements[i].parent] += headings[i]
-    while root > 0:
-        above = elements[root].parent
-        more = size[above] - size[root] - (headings[above] - headings[root])
-        if elements[root].tag in SECTIONS and more > LITTLE * total:
-            break
-        root = above
-    return root
+        p = paths[of[b.element]]
+        p.here += 1
+        p.n += 1
+        p.length += len(b.text) - b.links
+        p.marks += len(PUNCTUATION.findall(b.text))
+    for p in reversed(paths[1:]):
+        if p.weight:  # what is excluded doesn't tell of what is around it
+            up = paths[p.parent]
+            up.n, up.length, up.marks = up.n + p.n, up.length + p.length, up.marks + p.marks
+    for p in paths:
+        own = (p.length / p.n, p.marks / p.n) if p.n else (0.0, 0.0)
+        up = paths[p.parent] if p.parent >= 0 else None
+        if up and up.tag not in PAGE:
+            p.ratios = tuple((x + AROUND * y) / (1 + AROUND) for x, y in zip(own, up.ratios, strict=True))
+        else:
+            p.ratios = own
+        if p.inside:
+            p.floor = up.floor if up and up.inside else own
+            p.ratios = tuple(map(max, p.ratios, p.floor))
+    return paths, of
+
+
+def _beside(elements: list[Element], blocks: list[Block], ratios: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Ratios of blocks: headings have at least those of the next block that is none; then each is smoothed over its neighbours in the same element."""
+    raised = list(ratios)
+    for i in range(len(blocks) - 2, -1, -1):
+        if elements[blocks[i].element].tag in HEADINGS and elements[blocks[i + 1].element].kind == 0:
+            raised[i] = tuple(map(max, raised[i], raised[i + 1]))
+    around = [elements[b.element].parent for b in blocks]
+    out = []
+    for i, own in enumerate(raised):
+        near = [raised[j] for j in (i - 1, i + 1) if 0 <= j < len(blocks) and around[j] == around[i] and elements[blocks[j].element].kind == 0]
+        out.append(tuple((x + BESIDE * sum(r[k] for r in near)) / (1 + BESIDE * len(near)) for k, x in enumerate(own)))
+    return out
+
+
+def path_scores(elements: list[Element], blocks: list[Block]) -> list[float]:
+    """Of each block: the score of its path, the mean over the path's blocks of the weighed geometric mean of length and (one more than) punctuation."""
+    paths, of = tag_paths(elements, blocks)
+    at = [of[b.element] for b in blocks]
+    total = [0.0] * len(paths)
+    for i, (length, marks) in zip(at, _beside(elements, blocks, [paths[i].ratios for i in at]), strict=True):
+        total[i] += paths[i].weight * (length * (1 + marks)) ** 0.5
+    return [total[i] / paths[i].here for i in at]
+
+
+def chosen(blocks: list[Block], scores: list[float]) -> list[Block]:
+    """The blocks whose path's score is at least a share of the mean score of a character."""
+    size = [len(b.text) if s > 0 else 0 for b, s in zip(blocks, scores, strict=True)]
+    mean = sum(n * s for n, s in zip(size, scores, strict=True)) / max(1, sum(size))
+    return [b for b, s in zip(blocks, scores, strict=True) if s > 0 and s >= SHARE * mean]
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page, its blocks joined by an empty line; a null page has none."""
+    """The content of a page, its blocks joined by an empty line; a null page has none.
+
+    Blocks that stand in links only, on a page without other text, have no length and so no score.
+    """
     if not page:
         return ""
     read = Reader(page)
-    elements = read.elements
-    _settle(elements)
-    blocks = [b for b in read.blocks if elements[b.element].kind == 0]
-    if not blocks:
-        return ""
-    scores = path_scores(elements, blocks)
-    cut = SHARE * sum(scores) / len(scores)
-    best: dict[str, float] = {}
-    for b, s in zip(blocks, scores, strict=True):
-        path = elements[b.element].path
-        best[path] = max(best.get(path, 0.0), s)
-    chosen = {p for p, s in best.items() if s >= cut}
-    weight = [0] * len(elements)
-    for b in blocks:
-        if elements[b.element].path in chosen:
-            weight[b.element] += len(b.text) - b.links + 1
-    total = sum(weight)
-    for i in range(len(elements) - 1, 0, -1):
-        weight[elements[i].parent] += weight[i]
-    root = next(i for i in range(len(elements) - 1, -1, -1) if weight[i] >= HELD * total)  # children come after parents
-    root = _widened(elements, blocks, root, total)
-    inside = [False] * len(elements)
-    inside[root] = True
-    for i in range(root + 1, len(elements)):
-        inside[i] = inside[elements[i].parent]
-    if elements[root].tag in ARTICLE or elements[root].inside:
-        kept = [b for b in blocks if inside[b.element]]
-    else:  # no article is marked: lists of links are menus
-        kept = [b for b in blocks if inside[b.element] and (b.links < MOST_LINKS * len(b.text) or elements[b.element].tag in HEADINGS)]
-    return "\n\n".join(b.text for b in kept)
+    _settle(read.elements)
+    blocks = [b for b in read.blocks if read.elements[b.element].kind < 3]
+    return "\n\n".join(b.text for b in chosen(blocks, path_scores(read.elements, blocks)))
 
 
 def extract(df: DataFrame, keep: list[str], page: str = "html") -> DataFrame:
