@@ -120,7 +120,7 @@ def keyword_match(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", (F.contains(t, F.lit("license")) | F.contains(t, F.lit("of the"))).alias("hit"), F.length(t).cast("bigint").alias("n"))
 
 
-@query("""SELECT doc_id, upper(substring(text, 1, 1)) || substring(text, 2) AS shown, lpad(CAST(n_chars // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS clock FROM documents WHERE text IS NOT NULL AND n_chars < 6000""")
+@query("""SELECT doc_id, upper(substring(text, 1, 1)) || substring(text, 2) AS shown, lpad(CAST(n_chars // 60 AS VARCHAR), CAST(greatest(2, length(CAST(n_chars // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS clock FROM documents WHERE text IS NOT NULL""")
 def shown_text(spark, sf_dir):
     """Capitalised texts, and lengths as minutes and seconds."""
     d = table(spark, sf_dir, "documents").where("text is not null")
@@ -154,21 +154,27 @@ def breadcrumbs(spark, sf_dir):
     return role(spark, sf_dir, "chunks").select("id", crumb.alias("breadcrumb"), whole.alias("search_text"))
 
 
+#: Pages of a book, about: a source goes on in as many books as it needs.
+_BOOK_IDS = 500
+_BOOK_SQL = f"coalesce(source, '') || '-' || (doc_id // {_BOOK_IDS})"
+
+
 def _books(spark, sf_dir):
-    """Each source's documents as the pages of one book, in order."""
-    d = _docs(spark, sf_dir)
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return paged.marked(d.select(F.col("source").alias("book_id"), page.alias("page"), "text"))
+    """Each source's documents as the pages of books, in order."""
+    book = F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.floor(F.col("doc_id") / _BOOK_IDS).cast("string"))
+    d = _docs(spark, sf_dir).select(book.alias("book_id"), "doc_id", "text")
+    page = F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id"))
+    return paged.marked(d.select("book_id", page.alias("page"), "text"))
 
 
-@query("SELECT source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page, md5(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM documents")
+@query(f"SELECT {_BOOK_SQL} AS book_id, CAST(row_number() OVER (PARTITION BY {_BOOK_SQL} ORDER BY doc_id) AS INTEGER) AS page, md5(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM documents")
 def paged_round_trip(spark, sf_dir):
     """Pages written into one text a book and read back."""
     p = paged.pages(_books(spark, sf_dir))
     return p.select("book_id", "page", F.md5(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("text_md5"))
 
 
-@query("SELECT source AS book_id, count(*) AS pages, count(*) FILTER (length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 20) AS blank FROM documents GROUP BY source")
+@query(f"SELECT {_BOOK_SQL} AS book_id, count(*) AS pages, count(*) FILTER (length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 20) AS blank FROM documents GROUP BY ALL")
 def blank_pages(spark, sf_dir):
     """Pages with next to no text, by book."""
     return paged.blank_pages(paged.pages(_books(spark, sf_dir)))
@@ -176,8 +182,9 @@ def blank_pages(spark, sf_dir):
 
 def _chunked(spark, sf_dir):
     books = _books(spark, sf_dir)
-    kinds = books.select("book_id", F.lit("cpp").alias("kind"))
-    titles = books.select("book_id", F.concat(F.lit("Book "), "book_id").alias("book_title"))
+    ids = books.select("book_id").distinct()
+    kinds = ids.select("book_id", F.lit("cpp").alias("kind"))
+    titles = ids.select("book_id", F.concat(F.lit("Book "), "book_id").alias("book_title"))
     return structure.build(books, kinds, titles)
 
 

@@ -13,6 +13,9 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+rows_of = rows
+
+
 # ---- search
 
 
@@ -31,6 +34,26 @@ def test_bm25_phrase_and_weights(spark):
     assert search.bm25(index, sizes, [], 10, id="id").collect() == []
 
 
+def test_many_queries_meet_documents_in_blocks(spark):
+    """The same rows as with few queries: ties, books, null vectors and vectors of another length too."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([0.0, 0.25, 0.5, -0.5]) for _ in range(4)], rng.choice("xyz")) for i in range(300)] + [(300, None, "x"), (301, [0.5, 0.5], "x"), (302, [0.5, None, 0.0, 0.0], "y")]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", [rng.choice([0.5, 0.25, 0.0]) for _ in range(4)], rng.choice(["x", "y", None])) for i in range(40)], "qid string, q array<float>, want string")
+    old = search.FEW_QUERIES, search.QUERY_ROWS, search.DOCUMENT_ROWS
+    try:
+        for mode, book in (("exact", None), ("exact", "label"), ("overfetch", "label")):
+            got = []
+            for search.FEW_QUERIES, search.QUERY_ROWS, search.DOCUMENT_ROWS in (old, (3, 7, 16)):
+                got.append(rows_of(search.vector_topk(docs.where("vec_id <> 302"), queries, 6, book=book, mode=mode)))
+            assert got[0] == got[1] and len(got[0]) > 100
+        assert {r.vec_id for r in search.vector_topk(docs, queries, 400).collect()} == set(range(300))
+    finally:
+        search.FEW_QUERIES, search.QUERY_ROWS, search.DOCUMENT_ROWS = old
+
+
 def test_fusion_ties_and_provenance(spark):
     v = spark.createDataFrame([(1, 1), (2, 2)], "id bigint, rank int")
     k = spark.createDataFrame([(3, 1), (2, 2)], "id bigint, rank int")
@@ -153,21 +176,77 @@ def test_pages_and_chunks(spark):
     assert quality.assert_sound(structure.build(books, kinds, titles)).count() == 1
 
 
-def test_heal():
-    assert structure.heal(["algo-", "rithm, x", "end-", "Cap"]) == ["algorithm , x", "end-", "Cap"]
-    assert structure.heal(["a-", "b-", "c"]) == ["ab -", "c"]
+def test_heal(spark):
+    pages = [["algo-", "rithm, x", "end-", "Cap"], ["a-", "b-", "c"], ["x", "", "  y-", "  zed  "], ["tail-"]]
+    df = spark.createDataFrame([("B", p, i, line) for p, lines in enumerate(pages) for i, line in enumerate(lines)], "book_id string, page int, line_no int, line string")
+    got = structure.heal_pages(df).orderBy("page", "line_no").collect()
+    assert [[r.line for r in got if r.page == p] for p in range(4)] == [["algorithm , x", "end-", "Cap"], ["ab -", "c"], ["x", "", "  yzed"], ["tail-"]]
+
+
+def content(lines, heading=""):
+    """Rows as ``structure.segments`` makes them."""
+    return [("B", page, i, line, 0, heading, "1", "", "", "", "", "") for i, (line, page) in enumerate(lines)]
+
+
+CONTENT = "book_id string, page int, line_no int, line string, segment int, heading string, chapter string, chapter_title string, section string, section_title string, subsection string, subsection_title string"
+
+
+def test_blocks(spark):
+    lines = [("Some words", 1), ("go on", 1), ("", 1), ("int main() {", 2), ("  x;", 2), ("", 2), ("}", 2), ("O(n) = n", 3), ("Table 1.2 Things", 3), ("a b", 3), ("", 3), ("end", 4)]
+    got = structure.blocks(spark.createDataFrame(content(lines), CONTENT)).orderBy("block").collect()
+    assert [(b.kind, b.text, b.first, b.last) for b in got] == [("text", "Some words go on", 1, 1), ("code", "int main() {\n  x;\n\n}", 2, 2), ("math", "O(n) = n", 3, 3), ("table", "Table 1.2 Things\na b", 3, 3), ("text", "end", 4, 4)]
+
 
+def test_blocks_end_where_they_should(spark):
+    """Two blank lines end code, code ends a table, a table has at most 30 lines, indented prose alone is prose."""
+    lines = [("x = 1;", 1), ("", 1), ("", 1), ("  indented words", 1), ("sto-", 1), ("ry", 2), ("Figure 3 A", 2), ("row", 2), ("y = 2;", 2), ("  goes on", 2), ("∑ a", 2), ("∑ b;", 3), ("Table 9", 3), *[(f"r {i}", 4) for i in range(35)]]
+    got = structure.blocks(spark.createDataFrame(content(lines), CONTENT)).orderBy("block").collect()
+    assert [(b.kind, b.text) for b in got[:5]] == [("code", "x = 1;"), ("text", "indented words story"), ("figure", "Figure 3 A\nrow"), ("code", "y = 2;\n  goes on"), ("math", "∑ a\n∑ b;")]
+    assert [(b.kind, len(b.text.split("\n"))) for b in got[5:]] == [("table", 30), ("text", 1)] and got[6].text.startswith("r 29 r 30")
 
-def test_blocks_and_packing():
-    kinds = [(b.kind, b.text) for b in structure.blocks([("Some words", 1), ("go on", 1), ("", 1), ("int main() {", 2), ("  x;", 2), ("", 2), ("}", 2), ("O(n) = n", 3), ("Table 1.2 Things", 3), ("a b", 3), ("", 3), ("end", 4)])]
-    assert kinds == [("text", "Some words go on"), ("code", "int main() {\n  x;\n\n}"), ("math", "O(n) = n"), ("table", "Table 1.2 Things\na b"), ("text", "end")]
-    block = lambda n, kind="text": structure.Block(kind, "w " * n, 1, 1)
-    sizes = lambda *b: [sum(x.words for x in g) for g in structure.group_blocks(list(b))]
-    assert sizes(block(500), block(400), block(100)) == [1000]
-    assert sizes(block(500), block(400, "code"), block(300)) == [500, 700]
-    assert sizes(block(700), block(600), block(300)) == [700, 900]
+
+def test_long_code_is_one_block(spark):
+    lines = [(f"x{i} = {i};", 1) if i % 3 else ("", 1) for i in range(1, 20000)]
+    assert [b.kind for b in structure.blocks(spark.createDataFrame(content(lines), CONTENT)).collect()] == ["code"]
+
+
+def test_packing():
+    def sizes(*b):
+        ends = structure.pack([n for n, _ in b], [s for _, s in b])
+        return [sum(n for n, _ in b[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+
+    text, code = False, True
+    assert sizes((500, text), (400, text), (100, text)) == [1000]
+    assert sizes((500, text), (400, code), (300, text)) == [500, 700]
+    assert sizes((700, text), (600, text), (300, text)) == [700, 900]
+    assert sizes((900, text), (10, text)) == [910] and sizes((1190, text), (20, text)) == [1190, 20] and sizes() == []
     assert structure.overlap_tail("One two three. Four five six. Seven eight nine ten.", 100) == ""
     assert structure.overlap_tail("A b. " + "Word " * 40 + "end. Last one.", 100) == "Last one."
+    long = " ".join(f"{'word ' * 99}end." for _ in range(30)).replace("word word", "Word word", 1)
+    assert [len(t.split()) for t in structure.cut_long(long.replace("end. word", "end. Word"))] == [800, 800, 800, 600]
+
+
+def test_packing_equals_one_block_at_a_time():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        blocks = [(rng.choice([1, 30, 200, 500, 799, 800, 1000, 1500]), rng.random() < 0.4) for _ in range(rng.randint(1, 25))]
+        groups, size = [[]], 0
+        for n, structured in blocks:
+            if groups[-1] and size + n > (800 if structured else 1200):
+                groups.append([])
+                size = 0
+            groups[-1].append(n)
+            size += n
+            if size >= 800:
+                groups.append([])
+                size = 0
+        groups = [g for g in groups if g]
+        if len(groups) > 1 and sum(groups[-1]) < 250 and sum(groups[-2]) + sum(groups[-1]) <= 1200:
+            groups[-2:] = [groups[-2] + groups[-1]]
+        ends = structure.pack([n for n, _ in blocks], [s for _, s in blocks])
+        assert [e - b for b, e in zip([0, *ends], ends, strict=False)] == [len(g) for g in groups]
 
 
 def test_repeated_heads_go(spark):
@@ -204,20 +283,41 @@ def test_pieces_keep_all_words_within_budget():
     assert cleanup.pieces("", 100) == []
 
 
-def test_headings_move_forward():
-    label = dict(chapter="3", chapter_title="C", section="3.2", section_title="S", subsection="", subsection_title="")
-    own, after = cleanup.relabel("3.3 Next Things\nbody\n9.1 Too Far\n4.1 New Chapter Here\n", label, {"4": "Four"})
-    assert (own["section"], own["section_title"]) == ("3.3", "Next Things")
-    assert (after["chapter"], after["chapter_title"], after["section"]) == ("4", "Four", "4.1")
-    own, after = cleanup.relabel("x " * 100 + "\n3.2.1 Deep Thing\n", label, {})
-    assert own == label and (after["subsection"], after["section_title"]) == ("3.2.1", "S")
+PIECE = "book_id string, parent_chunk_id string, piece int, text string, chapter string, chapter_title string, section string, section_title string, subsection string, subsection_title string"
+
+
+def labelled(spark, rows, titles=()):
+    df = spark.createDataFrame(rows, PIECE)
+    known = spark.createDataFrame(list(titles), "book_id string, chapter string, title string")
+    return cleanup.label_pieces(df, known).orderBy("book_id", "parent_chunk_id", "piece").collect()
 
 
-def test_exercise_run():
-    run = cleanup.ExerciseRun()
-    quiet = "plain words"
-    assert [run.add(t, "1") for t in (quiet, "Exercises\n", quiet, quiet, quiet, quiet)] == [False, True, True, True, False, False]
-    assert run.add("Point out the errors", "1") and not run.add(quiet, "2")
+def test_headings_move_forward(spark):
+    label = ("3", "C", "3.2", "S", "", "")
+    texts = ["3.3 Next Things\nbody\n9.1 Too Far\n4.1 New Chapter Here\n", "nothing", "x " * 100 + "\n4.1.2 Deep Thing\n", "rest"]
+    got = labelled(spark, [("DS", "p1", i, t, *label) for i, t in enumerate(texts)] + [("DS", "p2", 0, "x " * 100 + "\n3.2.1 Deep Thing\n", *label), ("DS", "p2", 1, "rest", *label), ("X", "p3", 0, "3.3 Next Things", *label)], [("DS", "4", "Four")])
+    own = [(r.chapter, r.chapter_title, r.section, r.section_title, r.subsection, r.subsection_title) for r in got]
+    assert own[0] == ("3", "C", "3.3", "Next Things", "", "")
+    assert own[1] == ("4", "Four", "4.1", "New Chapter Here", "", "")
+    assert own[2] == own[1] and own[3] == ("4", "Four", "4.1", "New Chapter Here", "4.1.2", "Deep Thing")
+    assert own[4] == label and own[5] == ("3", "C", "3.2", "S", "3.2.1", "Deep Thing")  # a parent begins with its own label
+    assert own[6] == label  # no book with headings
+
+
+def test_headings_that_do_not_count(spark):
+    label = ("1", "A", "1.2", "S", "", "")
+    bad = ["0.3 Zero Chapter", "1.1 Going Back", "1.15 Too Many Steps", "1.3 x = y;", "1.3 Ends with a stop.", "1.3 " + "Word " * 17, "3.1 Skips One", "2.3 Late in the Next"]
+    got = labelled(spark, [("DS", f"p{i}", 0, t + "\nbody", *label) for i, t in enumerate(bad)] + [("DS", "q", 0, "7.7 Any Goes\nbody", "B", "", "", "", "", "")])
+    assert [r.section for r in got] == ["1.2"] * len(bad) + ["7.7"]
+
+
+def test_exercise_run(spark):
+    quiet, blank = "plain words", ("",) * 5
+    texts = [(quiet, "1"), ("Exercises\n", "1"), *[(quiet, "1")] * 4, ("Point out the errors", "1"), (quiet, "2"), (quiet, "2"), ("Chapter 2: New\nExercises\n", "2"), *[(quiet, "2")] * 2, ("[A] One", "2"), (quiet, "2")]
+    got = labelled(spark, [("C", "p", i, t, c, *blank) for i, (t, c) in enumerate(texts)])
+    assert [r.is_exercise for r in got] == [False, True, True, True, False, False, True, False, False, True, True, True, True, True]
+    long = labelled(spark, [("C", "p", i, "Point out the errors" if i in (0, 60, 120, 121) else "[A] One", "1", *blank) for i in range(300)])
+    assert [i for i, r in enumerate(long) if not r.is_exercise] == [120, *range(241, 300)]
 
 
 def test_exclusion(spark):
@@ -246,6 +346,21 @@ def test_rebuilt_labels(spark):
     assert [(r.chapter, r.section, r.chapter_title) for r in got] == [("1", "1.1", ""), ("1", "1.1", ""), ("2", "2.1", "Two")]
 
 
+def test_report_counts_what_was_done(spark):
+    books = spark.createDataFrame([("C", "\n\n===== PAGE 1 =====\n\nChapter 1: Loops\n" + "\n".join(f"Some words of prose number {i} go on here." for i in range(80)) + "\n\n===== PAGE 9 =====\n\nExercises\n[A] What is it?\n" + "More words. " * 60)], "book_id string, text string")
+    chunks = structure.build(books, spark.createDataFrame([("C", "c")], "book_id string, kind string"), spark.createDataFrame([("C", "Letters")], "book_id string, book_title string"))
+    parents = cleanup.cleaned_parents(chunks)
+    none = spark.createDataFrame([], "book_id string, chapter string, title string")
+    pieces = cleanup.clean_pieces(parents, none)
+    rows_, r = pieces.collect(), cleanup.cleanup_report(pieces, parents).collect()
+    assert len(r) == 1 and len(r[0]) >= 25
+    kept = [p for p in rows_ if p.exclude_reason is None]
+    assert (r[0].chunks, r[0].pieces, r[0].kept, r[0].exercises) == (chunks.count(), len(rows_), len(kept), sum(p.is_exercise for p in rows_))
+    tokens = sorted(int(max(len(p.search_text.split()) * 1.5, len(p.search_text) / 3.6)) for p in kept)
+    assert (r[0].tokens_median, r[0].most_tokens) == (tokens[len(tokens) // 2], tokens[-1]) and tokens[-1] <= 250
+    assert [p.chunk_id for p in sorted(kept, key=lambda p: (p.parent_chunk_id, p.piece))] == [f"C_CHUNK_{i + 1:05d}" for i in range(len(kept))]
+
+
 # ---- generation and sources
 
 
