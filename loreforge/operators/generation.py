@@ -45,7 +45,9 @@ def is_bad(c: Column) -> Column:
 
 
 def pick(chunks: DataFrame, questions: DataFrame, n: int, *, seed: str) -> DataFrame:
-    """Chunks to ask about, those without questions first."""
+    """Chunks to ask about, those without questions first; ones whose mathematics is garbled are left out where the chunks say so."""
+    if "garbled_math" in chunks.columns:
+        chunks = chunks.where(~F.coalesce(F.col("garbled_math").cast("boolean"), F.lit(False)))
     return exam.draw_fresh_first(chunks.where(is_askable(F.col("text"))), questions, n, id="chunk_id", seed=seed)
 
 

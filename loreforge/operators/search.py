@@ -1,14 +1,19 @@
 """Retrieval: vector and keyword ranking, their fusion, citations and evaluation.
 
-Queries are a table of few rows (``qid`` and a text or vector), so one plan serves
-one question or an evaluation set.  Documents are scanned once; top-k is kept per
-query by partial aggregation on either side of the shuffle.
+Queries are a table (``qid`` and a text or vector), so one plan serves one question or an
+evaluation set: few queries are sent to the documents, many meet them in blocks.
+Documents are scanned once; top-k is kept per query by partial aggregation on either side
+of the shuffle.  The keyword index is a table sorted by term, built once.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +24,8 @@ from loreforge.functions.porter import stem, stems
 POOL, FUSION, LEAST_SIMILARITY = 30, 60, 0.30
 #: Fixed values of BM25, and the column weights of text and breadcrumb.
 K1, B, WEIGHTS = 1.2, 0.75, {"text": 1.0, "breadcrumb": 2.0}
+#: Queries that are broadcast; rows of a block of queries and of documents beyond that.
+FEW_QUERIES, QUERY_ROWS, DOCUMENT_ROWS = 256, 512, 4096
 #: Words that no query is about.
 STOP_WORDS = frozenset(
     "a an the is are was were be been being of in on at to for from by with about as into "
@@ -38,24 +45,87 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None, ran
     return out if k is None else out.where(F.col(rank) <= k)
 
 
+def first_rows(df: DataFrame, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
+    """The first k rows with their rank: each task sends its k first, and only k rows are ranked in one."""
+    return ranked(df.orderBy(*order).limit(k).withColumn("_one", F.lit(1)), ["_one"], order, k, rank).drop("_one")
+
+
 def vector_topk(docs: DataFrame, query: DataFrame, k: int, *, id: str = "vec_id", vector: str = "embedding", book: str | None = None, mode: str = "exact") -> DataFrame:
-    """qid, id, similarity, rank.  ``query``: qid, q (vector), and want (a book to keep to, or null) if ``book`` is given; few rows, as it is broadcast.
+    """qid, id, similarity, rank.  ``query``: qid, q (vector), and want (a book to keep to, or null) if ``book`` is given.
 
     ``overfetch`` takes the 4k nearest and filters by book after that, so fewer than
-    k may be left; ``exact`` filters first.  Ties go to the smaller id.
+    k may be left; ``exact`` filters first.  Ties go to the smaller id.  Vectors that are
+    null, have null components or another length than a query's have no similarity to it and take no part.
+    More than ``FEW_QUERIES`` queries meet the documents in blocks.
     """
-    pairs = docs.where(F.col(vector).isNotNull()).join(F.broadcast(query), F.lit(True))
-    similarity = scores.cosine_similarity(F.col(vector), F.col("q"))
+    docs, order = docs.where(F.col(vector).isNotNull()), [F.desc("similarity"), F.asc(id)]
     keep = F.lit(True) if book is None else F.col("want").isNull() | (F.col(book) == F.col("want"))
-    order = [F.desc("similarity"), F.asc(id)]
-    pairs = pairs.withColumn("similarity", similarity)
-    if mode == "overfetch":
-        pairs = ranked(pairs, ["qid"], order, 4 * k, "fetched").where(keep)
+    fetch = 4 * k if mode == "overfetch" else k
+    if query.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        pairs = docs.join(F.broadcast(query), F.size(vector) == F.size("q")).withColumn("similarity", scores.cosine_similarity(F.col(vector), F.col("q"))).where("similarity is not null")
+        pairs = pairs if mode == "overfetch" else pairs.where(keep)
     else:
-        pairs = pairs.where(keep)
+        pairs = _in_blocks(docs, query, fetch, id, vector, book, mode)
+    if mode == "overfetch":
+        pairs = ranked(pairs, ["qid"], order, fetch, "fetched").where(keep)
     return ranked(pairs, ["qid"], order, k).select("qid", id, "similarity", "rank")
 
 
+def _in_blocks(docs: DataFrame, query: DataFrame, fetch: int, id: str, vector: str, book: str | None, mode: str) -> DataFrame:
+    """qid, want, id, book, similarity: of each query the first ``fetch`` rows of every block of documents.
+
+    A block of documents is one row and goes to every block of queries, which it meets
+    by equality; so neither side is broadcast or gathered, whatever their sizes.
+    """
+    parts = -(-query.count() // QUERY_ROWS)
+    has_book = book is not None
+    label = F.col(book) if has_book else F.lit(None).cast("string")
+    want = F.col("want") if has_book else F.lit(None).cast("string")
+    src = docs.select(F.col(id).alias("i"), label.alias("book"), F.col(vector).cast("array<double>").alias("x"))
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    asked = query.select("qid", want.alias("want"), F.col("q").cast("array<double>").alias("q")).withColumn("block", F.expr(f"cast(pmod(xxhash64(qid), {parts}) as int)"))
+    blocks = asked.groupBy("block").agg(F.collect_list(F.struct("qid", "want", "q")).alias("qs"))
+    whole = f"is array<{kinds['i']}>, books array<{kinds['book']}>, xs array<array<double>>"
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCUMENT_ROWS):
+                part = batch.slice(at, DOCUMENT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, part.num_rows], c) for c in part.columns], names=["is", "books", "xs"])
+
+    rows = src.mapInArrow(gathered, whole).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = rows.join(blocks, "block").select("is", "books", "xs", "qs")
+    out = f"qid {asked.schema['qid'].dataType.simpleString()}, want {asked.schema['want'].dataType.simpleString()}, `{id}` {kinds['i']}, _book {kinds['book']}, similarity double"
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, books = r["is"], r["books"]
+                found = []
+                for size in {len(q["q"]) for q in r["qs"]}:
+                    at = [j for j, x in enumerate(r["xs"]) if len(x) == size and None not in x]
+                    qs = [q for q in r["qs"] if len(q["q"]) == size]
+                    if not at:
+                        continue
+                    x, q = np.array([r["xs"][j] for j in at]), np.array([v["q"] for v in qs], np.float64)
+                    dots = np.zeros((len(qs), len(at)))
+                    for d in range(size):  # in this order for every pair, so that equal vectors tie
+                        dots += q[:, d : d + 1] * x[:, d]
+                    dots = np.clip(dots, 0.0, 1.0)
+                    for v, row in zip(qs, dots, strict=True):
+                        own = range(len(at)) if mode == "overfetch" or v["want"] is None else [j for j in range(len(at)) if books[at[j]] == v["want"]]
+                        best = sorted(own, key=lambda j: (-row[j], ids[at[j]]))[:fetch]
+                        found += [(v["qid"], v["want"], ids[at[j]], books[at[j]], float(row[j])) for j in best]
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], schema[c].type) for c in range(5)], schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(out))
+    got = met.mapInArrow(compared, out)
+    return got.withColumnRenamed("_book", book) if has_book else got.drop("_book")
+
+
 # ---- keywords ----------------------------------------------------------------
 
 
@@ -88,6 +158,25 @@ def postings(docs: DataFrame, columns: dict[str, Column], *, id: str, stemmed: b
     return out.withColumn("term", stems(F.col("term"))) if stemmed else out
 
 
+def keyword_index(docs: DataFrame, columns: dict[str, Column], path: str, *, id: str, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(postings, sizes) for ``bm25`` from the folder ``path``, where they are built unless they are there for as many rows.
+
+    Postings are sorted by term, so a search reads the row groups of its terms only.
+    """
+    spark = docs.sparkSession
+    try:
+        sizes = spark.read.parquet(f"{path}/sizes")
+        fresh = sizes.count() == docs.count()
+    except AnalysisException:  # nothing there
+        fresh = False
+    if not fresh:
+        index = postings(docs, columns, id=id, stemmed=stemmed)
+        index.repartitionByRange("term", id).sortWithinPartitions("term", id).write.mode("overwrite").parquet(f"{path}/postings")
+        tokens = [F.regexp_count(fold(c), F.lit(r"[\p{L}\p{N}]+")) for c in columns.values()]
+        docs.select(id, sum(tokens[1:], tokens[0]).alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/sizes")
+
+
 def bm25(index: DataFrame, sizes: DataFrame, phrases: list[list[str]], k: int, *, id: str, weights: dict[str, float] | None = None) -> DataFrame:
     """id, score (higher is better), rank of the documents in which a phrase occurs.
 
@@ -116,7 +205,7 @@ def bm25(index: DataFrame, sizes: DataFrame, phrases: list[list[str]], k: int, *
     scored = tf.join(F.broadcast(terms), "phrase").join(sizes, id)
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
     out = scored.groupBy(id).agg(F.sum(part).alias("score"))
-    return ranked(out.withColumn("one", F.lit(1)), ["one"], [F.desc("score"), F.asc(id)], k).drop("one")
+    return first_rows(out, [F.desc("score"), F.asc(id)], k)
 
 
 # ---- fusion ------------------------------------------------------------------
@@ -129,9 +218,8 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int, *, id: str, constant: in
     both = v.join(w, id, "full")
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(float(constant)) + F.col(c)), F.lit(0.0))
     found = F.when(F.col("vector_rank").isNotNull() & F.col("keyword_rank").isNotNull(), "vector+keyword").when(F.col("vector_rank").isNotNull(), "vector").otherwise("keyword")
-    both = both.select(id, (part("vector_rank") + part("keyword_rank")).alias("score"), found.alias("found_by"), "vector_rank", "keyword_rank", F.lit(1).alias("one"))
-    order = [F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank")]
-    return ranked(both, ["one"], order, k).drop("one")
+    both = both.select(id, (part("vector_rank") + part("keyword_rank")).alias("score"), found.alias("found_by"), "vector_rank", "keyword_rank")
+    return first_rows(both, [F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank")], k)
 
 
 def with_similarity(hits: DataFrame, docs: DataFrame, query: DataFrame, *, id: str, vector: str = "embedding") -> DataFrame:

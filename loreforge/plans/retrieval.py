@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreforge.functions import text
 from loreforge.operators import search
 from loreforge.plans.registry import query, table
+from loreforge.storage import shared_dir
 
 QUESTION, K = "What is the difference between apache license version and ordea", 10
 _NUMBERS = "CAST(embedding AS DOUBLE[])"
@@ -80,10 +83,10 @@ kw AS (SELECT doc_id, score, row_number() OVER (ORDER BY round_even(score, 9) DE
 
 
 def _bm25(spark, sf_dir, k, stemmed) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    index = search.postings(docs, {"text": F.coalesce("text", F.lit("")), "breadcrumb": F.concat_ws(" > ", "source", "lang")}, id="doc_id", stemmed=stemmed)
-    tokens = lambda c: F.regexp_count(search.fold(c), F.lit(r"[\p{L}\p{N}]+"))
-    sizes = docs.select("doc_id", (tokens(F.coalesce("text", F.lit(""))) + tokens(F.concat_ws(" > ", "source", "lang"))).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    columns = {"text": F.coalesce("text", F.lit("")), "breadcrumb": F.concat_ws(" > ", "source", "lang")}
+    name = hashlib.sha256(f"{sf_dir} {stemmed}".encode()).hexdigest()[:16]
+    index, sizes = search.keyword_index(docs, columns, f"{shared_dir(spark)}/loreforge/keywords-{name}", id="doc_id", stemmed=stemmed)
     return search.bm25(index, sizes, search.query_phrases(QUESTION, stemmed), k, id="doc_id")
 
 
@@ -99,12 +102,15 @@ def bm25_stemmed_topk(spark, sf_dir):
     return _bm25(spark, sf_dir, search.POOL, True)
 
 
-@query(_bm25_sql(search.POOL).replace("WITH tok", f"WITH {_QVEC}, {_SIM}, vec AS (SELECT vec_id AS doc_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM sims QUALIFY rank <= {search.POOL}), tok", 1) + f""",
+_HYBRID = (_bm25_sql(search.POOL).replace("WITH tok", f"WITH {_QVEC}, {_SIM}, vec AS (SELECT vec_id AS doc_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM sims QUALIFY rank <= {search.POOL}), tok", 1) + f""",
 f AS (SELECT coalesce(v.doc_id, k.doc_id) AS doc_id, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0) AS score, v.rank AS vr, k.rank AS kr,
   CASE WHEN v.rank IS NOT NULL AND k.rank IS NOT NULL THEN 'vector+keyword' WHEN v.rank IS NOT NULL THEN 'vector' ELSE 'keyword' END AS found_by FROM vec v FULL JOIN kw k ON v.doc_id = k.doc_id),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST) AS rank FROM f QUALIFY rank <= {K})
 SELECT r.doc_id, CAST(r.rank AS INTEGER) AS rank, round_even(score, 5) AS score, round_even(coalesce(s.similarity, 0), 4) AS similarity, found_by, concat_ws(' > ', d.source, 'Chapter ' || d.lang) AS location
 FROM r LEFT JOIN sims s ON s.vec_id = r.doc_id JOIN documents d ON d.doc_id = r.doc_id""")
+
+
+@query(_HYBRID)
 def hybrid_search_rrf(spark, sf_dir):
     """The flagship: vector and keyword rankings fused by reciprocal ranks, with similarities and locations."""
     docs, vectors, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), _query_vector(spark, sf_dir)
@@ -117,7 +123,8 @@ def hybrid_search_rrf(spark, sf_dir):
     return out.select("doc_id", "rank", F.bround("score", 5).alias("score"), F.bround("similarity", 4).alias("similarity"), "found_by", where.alias("location"))
 
 
-@query()
+@query(f"""WITH h AS ({_HYBRID}), best AS (SELECT max(similarity) AS best FROM h)
+SELECT coalesce(string_agg('[' || rank || '] ' || location || chr(10) || text, chr(10) || chr(10) ORDER BY rank), '') AS context FROM h JOIN best ON best >= {search.LEAST_SIMILARITY} JOIN documents USING (doc_id)""")
 def answer_context(spark, sf_dir):
     """The numbered excerpts that an answer is written from, if the best hit is similar enough."""
     hits = search.answerable(hybrid_search_rrf(spark, sf_dir))
@@ -140,7 +147,7 @@ def citations(spark, sf_dir):
 s AS (SELECT qid, e.vec_id, want, label, greatest(0.0, least(1.0, list_dot_product(CAST(embedding AS DOUBLE[]), q))) AS sim FROM embeddings e, q WHERE e.embedding IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM s QUALIFY rank <= 5),
 h AS (SELECT r.*, d.source, regexp_replace(replace(lower(coalesce(d.text, '') || ' ' || coalesce(d.lang, '')), '-', ' '), '\\s+', ' ', 'g') AS body FROM r JOIN documents d ON d.doc_id = r.vec_id),
-f AS (SELECT qid, min(CASE WHEN source = 'src' || (qid % 20) AND (contains(body, 'the') OR contains(body, 'es')) THEN rank END) AS first FROM h GROUP BY qid)
+f AS (SELECT q.qid, min(CASE WHEN source = 'src' || (q.qid % 20) AND (contains(body, 'the') OR contains(body, 'es')) THEN rank END) AS first FROM q LEFT JOIN h ON h.qid = q.qid GROUP BY q.qid)
 SELECT count(first) AS passed, count(*) AS asked, count(*) FILTER (first = 1) AS first_hits, avg(first) AS mean_rank FROM f""")
 def retrieval_evaluation(spark, sf_dir):
     """Passes, first hits and mean rank over a set of labelled questions."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,14 +18,19 @@ from pyspark.sql import functions as F
 from loreforge.functions import scores, text
 from loreforge.operators import activity, exam, generation, graph, learner, search, upserts
 from loreforge.sources import catalog
+from loreforge.storage import written
 
 
 @dataclass
 class Library:
-    """The application's tables (see ``sources.catalog.TABLES``); those not given are empty."""
+    """The application's tables (see ``sources.catalog.TABLES``); those not given are empty.
+
+    ``index``: a folder for the keyword index of all books, which is then built once; without it each search builds its own.
+    """
 
     spark: SparkSession
     tables: dict[str, DataFrame]
+    index: str | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name] if name in self.tables else catalog.empty(self.spark, name)
@@ -79,8 +85,11 @@ class Library:
         vec = search.vector_topk(c, q, search.POOL, id="id", book="book_id", mode="overfetch") if vector else c.limit(0).select("id", F.lit(0).alias("rank"))
         scope = self._scoped(c, book)
         columns = {"text": F.coalesce("text", F.lit("")), "breadcrumb": F.coalesce("breadcrumb", F.lit(""))}
-        index = search.postings(scope, columns, id="id", stemmed=stemmed)
-        sizes = index.groupBy("id").agg(F.count("*").alias("n"))
+        if self.index and not book:
+            index, sizes = search.keyword_index(c, columns, f"{self.index}/{'stems' if stemmed else 'words'}", id="id", stemmed=stemmed)
+        else:
+            index = search.postings(scope, columns, id="id", stemmed=stemmed)
+            sizes = index.groupBy("id").agg(F.count("*").alias("n"))
         hits = search.fuse(vec, search.bm25(index, sizes, search.query_phrases(question, stemmed), search.POOL, id="id"), k, id="id")
         hits = search.with_similarity(hits, c, q, id="id") if vector else hits.withColumn("similarity", F.lit(0.0))
         pages = text.page_label(F.col("page_start"), F.col("page_end"))
@@ -242,6 +251,28 @@ class Library:
         """How many questions of each level are to be generated."""
         return learner.deficits(self.bank(book, chapter), quota)
 
+    def prefill(self, write, verify, *, book: str, quota: int, chapter: str | None = None, seed: str, at_once: int = 8, patience: int = 2) -> tuple[DataFrame | None, dict[str, int]]:
+        """Questions generated until every level has its quota (None if none came), and how many each level still lacks.
+
+        A level is given up after ``patience`` rounds that bring nothing.  What a round has
+        brought is written, as a model wouldn't say the same again.
+        """
+        plan = self.prefill_plan(book, quota, chapter).first()
+        lacks = {level: plan[level] if plan else quota for level in scores.DIFFICULTY}
+        chunks, used, made = self._scoped(self["chunks"], book, chapter), self["question_bank"].select("chunk_id"), []
+        for level in lacks:
+            rounds = idle = 0
+            while lacks[level] > 0 and idle < patience:
+                want = min(lacks[level], at_once)
+                some = generation.pick(chunks, used, generation.chunks_needed(want), seed=f"{seed}/{level}/{rounds}")
+                got = written(generation.generate(some, write, verify, level=level, count=want), "prefill")
+                n = got.count()
+                rounds, idle, lacks[level] = rounds + 1, idle + (n == 0), lacks[level] - n
+                if n:
+                    made.append(got)
+                    used = used.unionAll(got.select("chunk_id"))
+        return (reduce(DataFrame.unionByName, made) if made else None), lacks
+
     # ---- dashboards
 
     def subjects(self) -> DataFrame:

@@ -67,6 +67,26 @@ def test_generate(library):
     assert library.generate_questions(lambda body: reply, lambda body, asked: {0}, book="NONE", chapter=None, qtype="mcq", count=2, level="hard", seed="x").count() == 0
 
 
+def test_prefill_fills_levels_and_gives_up(library):
+    """Rounds go on until a level has its quota; two that bring nothing end it."""
+    reply = '{"questions": [{"question": "what is it?", "options": ["p", "q", "r", "s"], "answer": "A", "explanation": ""}]}'
+    b = library.bank("DS").first()
+    made, lacks = library.prefill(lambda body: reply, lambda body, asked: {0}, book="DS", quota=6, seed="x", at_once=2)
+    assert set(lacks.values()) == {0} and {r.difficulty: r["count"] for r in made.groupBy("difficulty").count().collect()} == {d: 6 - n for d, n in ((0.3, b.easy), (0.5, b.medium), (0.8, b.hard)) if n < 6}
+    made, lacks = library.prefill(lambda body: "no", lambda body, asked: {0}, book="DS", quota=6, seed="x")
+    assert made is None and lacks == {"easy": 6 - b.easy, "medium": 6 - b.medium, "hard": 6 - b.hard}
+
+
+def test_index_is_built_once(library, tmp_path):
+    kept = Library(library.spark, library.tables, index=f"file://{tmp_path}/index")
+    want = [(r.id, r.score) for r in library.search("red black tree", [1.0, 0.0], 5).orderBy("rank").collect()]
+    for _ in range(2):
+        assert [(r.id, r.score) for r in kept.search("red black tree", [1.0, 0.0], 5).orderBy("rank").collect()] == want
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    kept.search("hash table", [1.0, 0.0], 5).collect()
+    assert files == {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")} and files
+
+
 def test_cards(library):
     state = {r.card_id: r for r in library.review_flashcard("s", 0, True, NOW).collect()}
     assert (state[0].reps, state[0].interval_days, state[0].due_date) == (3, 8, datetime.date(2024, 1, 18))
