@@ -1,12 +1,17 @@
 """Learners' state as folds over their answer logs.
 
 The log is the truth: abilities, schedules and mastery are recomputed from it, so a
-question can be retired by leaving its answers out.  Folds run in the JVM over a
-learner's answers in order; only one key's answers are together at a time.
+question can be retired by leaving its answers out.  Abilities are folded over a sorted
+stream of answers, of which one is held at a time, so a learner's log may be of any
+length; reviews and mastery are folded in the JVM over one card's or topic's log.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,31 +27,51 @@ def log_of(df: DataFrame, keys: list[str], order: list[str], values: list[str])
     return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in values if c not in order]))).alias("log"))
 
 
-def ability(df: DataFrame, keys: list[str], order: list[str], *, correct: str = "correct", difficulty: str = "difficulty", start: Column | None = None) -> DataFrame:
-    """keys, theta, attempts, correct: the ability after all answers."""
-    first = F.struct((start if start is not None else F.lit(scores.START)).alias("theta"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("right"))
+def step(theta: float, difficulty: float, correct: int, attempts: int) -> float:
+    """``functions.scores.step`` on plain numbers."""
+    k = max(scores.LEAST_STEP, scores.FIRST_STEP / math.sqrt(attempts + 1))
+    return min(scores.HIGHEST, max(scores.LOWEST, theta + k * (correct - 1 / (1 + math.exp(-scores.SLOPE * (theta - difficulty))))))
 
-    def one(acc, x):
-        return F.struct(scores.step(acc["theta"], x[difficulty], x[correct], acc["n"]).alias("theta"), (acc["n"] + 1).alias("n"), (acc["right"] + x[correct].cast("bigint")).alias("right"))
 
-    end = log_of(df, keys, order, [correct, difficulty]).withColumn("end", F.aggregate("log", first, one))
-    return end.select(*keys, F.col("end.theta").alias("theta"), F.col("end.n").alias("attempts"), F.col("end.right").alias("correct"))
+def ability(df: DataFrame, keys: list[str], order: list[str], *, correct: str = "correct", difficulty: str = "difficulty", start: Column | None = None) -> DataFrame:
+    """keys, theta, attempts, correct: the ability after all answers."""
+    each = _steps(df, keys, order, correct, difficulty, start)
+    out = each.groupBy(*keys).agg(F.max_by("_after", "_position").alias("_theta"), F.count("*").alias("_attempts"), F.sum("_correct").cast("bigint").alias("_right"))
+    return out.select(*keys, F.col("_theta").alias("theta"), F.col("_attempts").alias("attempts"), F.col("_right").alias("correct"))
 
 
 def trail(df: DataFrame, keys: list[str], order: list[str], *, correct: str = "correct", difficulty: str = "difficulty", start: Column | None = None) -> DataFrame:
     """keys, order columns, position, theta_before, theta_after of every answer."""
-    begin = (start if start is not None else F.lit(scores.START)).cast("double")
-    first = F.struct(begin.alias("theta"), F.expr("cast(array() as array<struct<position:bigint,theta_before:double,theta_after:double>>)").alias("steps"))
+    each = _steps(df, keys, order, correct, difficulty, start)
+    return each.select(*keys, *order, F.col("_position").alias("position"), F.col("_before").alias("theta_before"), F.col("_after").alias("theta_after"))
 
-    def one(acc, x):
-        n = F.size(acc["steps"]).cast("bigint")
-        new = scores.step(acc["theta"], x[difficulty], x[correct], n)
-        at = F.struct((n + 1).alias("position"), acc["theta"].alias("theta_before"), new.alias("theta_after"))
-        return F.struct(new.alias("theta"), F.concat(acc["steps"], F.array(at)).alias("steps"))
-
-    steps = log_of(df, keys, order, [correct, difficulty]).withColumn("steps", F.aggregate("log", first, one)["steps"])
-    each = steps.select(*keys, F.explode(F.arrays_zip("log", "steps")).alias("x"))
-    return each.select(*keys, *[F.col(f"x.log.{c}").alias(c) for c in order], "x.steps.position", "x.steps.theta_before", "x.steps.theta_after")
+
+def _steps(df: DataFrame, keys: list[str], order: list[str], correct: str, difficulty: str, start: Column | None) -> DataFrame:
+    """keys, order, _correct, _position, _before, _after of every answer that has a result and a difficulty; ``start`` is made of keys."""
+    begin = (start if start is not None else F.lit(scores.START)).cast("double")
+    src = df.select(*keys, *order, F.col(correct).cast("int").alias("_correct"), F.col(difficulty).cast("double").alias("_difficulty"), begin.alias("_begin"))
+    src = src.where("_correct is not null and _difficulty is not null")
+    ordered = src.repartition(*keys).sortWithinPartitions(*keys, *order, "_correct", "_difficulty")
+    n = len(keys)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: n + len(order)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, theta, position = None, 0.0, 0
+        for batch in batches:
+            places, before, after = [], [], []
+            columns = [batch.column(i).to_pylist() for i in (*range(n), *range(batch.num_columns - 3, batch.num_columns))]
+            for *key, right, hard, first in zip(*columns, strict=True):
+                if key != now:
+                    now, theta, position = key, first, 0
+                before.append(theta)
+                theta = step(theta, hard, right, position)
+                position += 1
+                after.append(theta)
+                places.append(position)
+            made = [pa.array(places, pa.int64()), pa.array(before, pa.float64()), pa.array(after, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=[*batch.schema.names[:-2], "_position", "_before", "_after"])
+
+    return ordered.mapInArrow(run, ", ".join([*kinds, "_correct int, _position bigint, _before double, _after double"]))
 
 
 def retire(df: DataFrame, retired: DataFrame, on: list[str]) -> DataFrame:

@@ -31,4 +31,4 @@ SELECT student_id, round_even(max_by(theta, i), 6) AS theta, max(i) AS attempts,
 def stream_abilities(spark, sf_dir):
     """Abilities as keyed state, with retractions."""
     out = run.newest(learner.abilities(learner.as_answers(run.source(spark, sf_dir, "events")), "student_id"), ["student_id"], "abilities")
-    return out.where("attempts > 0").withColumn("theta", F.bround("theta", 6))
+    return out.where("attempts > 0").select("student_id", F.bround("theta", 6).alias("theta"), "attempts", "correct")

@@ -1,13 +1,13 @@
 """A learner's ability as keyed state: the same fold as ``operators.learner.ability``, one answer at a time.
 
 A retraction (an answer's sequence number with ``retracted`` true) rebuilds its key
-from the answers that remain, which the state therefore holds; the batch operator
-over the log without that answer gives the same.
+from the answers that remain.  The state holds the newest ``horizon`` answers of a key and
+what all older ones come to, so it is bounded; a retraction or answer that is older than
+that is counted as late, and the batch operator over the whole log gives its result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,50 +16,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loreforge.functions import scores
+from loreforge.operators.learner import step
 
-OUT = "theta double, attempts long, correct long"
-STATE = "seqs array<long>, correct array<int>, difficulty array<double>, gone array<long>"
+OUT = "theta double, attempts long, correct long, late long"
+STATE = "theta double, attempts long, right long, upto long, late long, seqs array<long>, correct array<int>, difficulty array<double>, gone array<long>"
+HORIZON = 10_000
 
 
-def step(theta: float, difficulty: float, correct: int, attempts: int) -> float:
-    """``functions.scores.step`` on plain numbers."""
-    k = max(scores.LEAST_STEP, scores.FIRST_STEP / math.sqrt(attempts + 1))
-    return min(scores.HIGHEST, max(scores.LOWEST, theta + k * (correct - 1 / (1 + math.exp(-scores.SLOPE * (theta - difficulty))))))
-
-
-def replay(log: list[tuple[int, int, float]]) -> tuple[float, int, int]:
-    """theta, attempts and correct after answers (seq, correct, difficulty) in order of seq."""
-    theta = scores.START
-    for n, (_, correct, difficulty) in enumerate(sorted(log)):
+def replay(log: list[tuple[int, int, float]], theta: float = scores.START, attempts: int = 0, right: int = 0) -> tuple[float, int, int]:
+    """theta, attempts and correct after answers (seq, correct, difficulty) in order of seq, from those before."""
+    for n, (_, correct, difficulty) in enumerate(sorted(log), attempts):
         theta = step(theta, difficulty, correct, n)
-    return theta, len(log), sum(c for _, c, _ in log)
+    return theta, attempts + len(log), right + sum(c for _, c, _ in log)
 
 
-def abilities(answers: DataFrame, key: str) -> DataFrame:
-    """key, theta, attempts, correct after each micro-batch in which the key has answers.
+def abilities(answers: DataFrame, key: str, horizon: int = HORIZON) -> DataFrame:
+    """key, theta, attempts, correct, late after each micro-batch in which the key has answers.
 
     ``answers``: a stream with key, seq, correct, difficulty and retracted.  Answers and
-    retractions may come in any order and more than once; a seq counts once.
+    retractions may come in any order and more than once; a seq counts once.  late: how
+    many answers and retractions were older than the ``horizon`` newest answers and had no effect.
     """
     kind = answers.schema[key].dataType.simpleString()
 
     def update(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        base, upto, late = (scores.START, 0, 0), None, 0
         log: dict[int, tuple[int, float]] = {}
         gone: set[int] = set()
         if state.exists:
-            seqs, correct, difficulty, old = state.get
+            *base, upto, late, seqs, correct, difficulty, old = state.get
             log, gone = {s: (c, d) for s, c, d in zip(seqs, correct, difficulty, strict=True)}, set(old)
         for frame in frames:
             for seq, correct, difficulty, retracted in frame[["seq", "correct", "difficulty", "retracted"]].itertuples(index=False):
-                if retracted:
+                if upto is not None and seq <= upto:
+                    late += 1
+                elif retracted:
                     gone.add(int(seq))
                 else:
                     log[int(seq)] = (int(correct), float(difficulty))
         for seq in gone:
             log.pop(seq, None)
-        state.update(([*log], [c for c, _ in log.values()], [d for _, d in log.values()], [*gone]))
-        theta, n, right = replay([(s, c, d) for s, (c, d) in log.items()])
-        yield pd.DataFrame({key: [k[0]], "theta": [theta], "attempts": [n], "correct": [right]})
+        if len(log) > horizon:
+            old = sorted(log)[: len(log) - horizon]
+            base, upto = replay([(s, *log.pop(s)) for s in old], *base), old[-1]
+            gone = {s for s in gone if s > upto}
+        state.update((*base, upto, late, [*log], [c for c, _ in log.values()], [d for _, d in log.values()], [*gone]))
+        theta, n, right = replay([(s, c, d) for s, (c, d) in log.items()], *base)
+        yield pd.DataFrame({key: [k[0]], "theta": [theta], "attempts": [n], "correct": [right], "late": [late]})
 
     return answers.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {OUT}", STATE, "update", GroupStateTimeout.NoTimeout)
 

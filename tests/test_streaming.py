@@ -42,6 +42,17 @@ def test_stream_equals_batch_after_retractions(spark, folder):
         assert (g.student_id, g.attempts, g.correct) == (w.student_id, w.attempts, w.correct) and g.theta == pytest.approx(w.theta)
 
 
+def test_state_is_bounded(spark, folder):
+    """With a horizon of five answers the same abilities, but for what comes too late, which is counted."""
+    source = lambda: learner.as_answers(run.source(spark, folder, "events")).withColumn("retracted", F.lit(False))
+    whole = {r.student_id: r for r in run.newest(learner.abilities(source(), "student_id"), ["student_id"], "t").collect()}
+    short = {r.student_id: r for r in run.newest(learner.abilities(source(), "student_id", horizon=5), ["student_id"], "t").collect()}
+    assert all(r.late == 0 for r in whole.values())
+    for k, r in short.items():
+        assert r.attempts <= whole[k].attempts <= r.attempts + r.late
+    assert sum(r.late for r in short.values()) > 0
+
+
 def test_steps_agree(spark):
     rng = random.Random(4)
     log = [(i, rng.randint(0, 1), rng.random()) for i in range(60)]
