@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: Characters that extraction leaves behind, and what they stand for.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", " ": " ", "­": "", "​": ""}
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+#: Generated wording that points at the source text, at the start of a text, anywhere after it, and the words for it.
+LEAD = r"(?i)^\s*(?:according to|based on|as (?:described|stated|shown|given|mentioned) in) the (?:given |provided )?(?:excerpt|passage)\s*,?\s*"
+TAIL = r"(?i)\s*,?\s*(?:according to|based on|as (?:described|stated|shown|given|mentioned) in) the (?:given |provided )?(?:excerpt|passage)"
+SOURCE_WORDS = r"(?:given |provided )?(?:excerpt|passage|text)\b(?!book)"
 PLACEHOLDER = ""
 
 
@@ -166,11 +170,9 @@ def letter_index(letter: Column) -> Column:
 
 def tidy(c: Column, explanation: bool = False) -> Column:
     """Generated wording that points at the source text is taken out."""
-    source = "(?:according to|based on|as (?:described|stated|shown|given|mentioned) in) the (?:given |provided )?(?:excerpt|passage)"
-    c = F.regexp_replace(c, rf"(?i)^\s*{source}\s*,?\s*", "")
-    c = F.regexp_replace(c, rf"(?i)\s*,?\s*{source}", "")
+    c = F.regexp_replace(F.regexp_replace(c, LEAD, ""), TAIL, "")
     if explanation:
-        c = F.regexp_replace(c, r"\b(T|t)he (?:given |provided )?(?:excerpt|passage|text)\b(?!book)", "$1he textbook")
+        c = F.regexp_replace(F.regexp_replace(c, rf"\bThe {SOURCE_WORDS}", "The textbook"), rf"\bthe {SOURCE_WORDS}", "the textbook")
     return capitalise_first(strip(F.regexp_replace(c, r"\s+([?.,])", "$1")))
 
 

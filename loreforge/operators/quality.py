@@ -13,6 +13,16 @@ REQUIRED = ("chunk_id", "book_id", "text")
 #: Least words of a chunk, most tokens, shares above which a table needs work.
 SHORT_WORDS, MOST_TOKENS, MANY_LONG, MANY_SHORT, MANY_NOISY = 30, 256, 0.10, 0.10, 0.02
 LEAST, MOST, HARD = 250, 1200, 1800
+#: Patterns of front matter, tables of contents and indexes.
+FRONT_MATTER = r"(?i)\bcopyright\b|all rights reserved|click here for terms of use|published by|library of congress cataloging"
+CONTENTS_HEADING = r"(?im)^\s*(?:contents|table of contents|brief contents)\s*$"
+DOTTED_ENTRY = r"\.{4,}\s*\d+"
+CONTENTS_WORD = r"(?i)\bcontents\b"
+NUMBER = r"\b\d+\b"
+INDEX_HEADING = r"(?im)^\s*(?:index|subject index|general index)\s*$"
+INDEX_ENTRY = r"\b[A-Za-z]+(?:\s+[A-Za-z]+)?\s*,\s*\d+(?:\s*[-–,]\s*\d+)*"
+LONE_WORD = r"(?m)^[A-Z][A-Za-z'’\-]+\s*$"
+SHORT_NUMBER = r"\b\d{1,4}\b"
 
 
 def missing_fields(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -105,24 +115,24 @@ def assert_sound(df: DataFrame) -> DataFrame:
 
 
 def is_front_matter(c: Column) -> Column:
-    return c.rlike(r"(?i)\bcopyright\b|all rights reserved|click here for terms of use|published by|library of congress cataloging")
+    return c.rlike(FRONT_MATTER)
 
 
 def is_contents(c: Column) -> Column:
     """A table of contents by its heading, its dotted lines, or the word and many numbers."""
-    heading = c.rlike(r"(?im)^\s*(?:contents|table of contents|brief contents)\s*$")
-    dotted = F.regexp_count(c, F.lit(r"\.{4,}\s*\d+")) >= 3
-    named = c.rlike(r"(?i)\bcontents\b") & (F.regexp_count(c, F.lit(r"\b\d+\b")) >= 8)
+    heading = c.rlike(CONTENTS_HEADING)
+    dotted = F.regexp_count(c, F.lit(DOTTED_ENTRY)) >= 3
+    named = c.rlike(CONTENTS_WORD) & (F.regexp_count(c, F.lit(NUMBER)) >= 8)
     return heading | dotted | named
 
 
 def is_index(c: Column) -> Column:
     """A back-of-book index by its heading, its entries, lone capitalised words, or the density of numbers."""
     n = F.greatest(text.word_count(c), F.lit(1))
-    entries = F.regexp_count(c, F.lit(r"\b[A-Za-z]+(?:\s+[A-Za-z]+)?\s*,\s*\d+(?:\s*[-–,]\s*\d+)*"))
-    lone = F.regexp_count(c, F.lit(r"(?m)^[A-Z][A-Za-z'’\-]+\s*$"))
-    dense = (F.regexp_count(c, F.lit(r"\b\d{1,4}\b")) / n > 0.25) & (n > 100)
-    return c.rlike(r"(?im)^\s*(?:index|subject index|general index)\s*$") | (lone >= 8) | (entries >= 5) | dense
+    entries = F.regexp_count(c, F.lit(INDEX_ENTRY))
+    lone = F.regexp_count(c, F.lit(LONE_WORD))
+    dense = (F.regexp_count(c, F.lit(SHORT_NUMBER)) / n > 0.25) & (n > 100)
+    return c.rlike(INDEX_HEADING) | (lone >= 8) | (entries >= 5) | dense
 
 
 def noise_reasons(c: Column, in_zone: Column) -> Column:

@@ -58,7 +58,7 @@ def _mastery(spark, sf_dir):
     return a.groupBy("book_id", "chapter").agg(F.avg("correct").alias("theta"), F.count("*").alias("attempts"))
 
 
-_MASTERY = "m AS (SELECT q.book_id, q.chapter, avg(a.correct) AS theta, count(*) AS attempts FROM {answers} a JOIN {questions} q USING (question_id) WHERE q.chapter IN ('1', '2') GROUP BY ALL)"
+_MASTERY = "m AS (SELECT q.book_id, q.chapter, avg(a.correct) AS theta, count(*) AS attempts FROM {answers} a JOIN {questions} q USING (question_id) GROUP BY ALL)"
 _TITLES = "t AS (SELECT book_id, chapter, min_by(chapter_title, id) AS title FROM {chunks} GROUP BY ALL)"
 
 
@@ -82,14 +82,14 @@ def focus_fill(spark, sf_dir):
 
 
 @query("""SELECT c.book_id, count(*) AS passages, count(DISTINCT chapter) AS chapters, coalesce(nullif(min(page_start), 0), 1) AS first_page, coalesce(nullif(max(page_end), 0), 1000) AS last_page, coalesce(any_value(d), 0) AS diagrams
-FROM {chunks} c LEFT JOIN (SELECT 'Brand#' || (l_suppkey % 25 + 1) AS book_id, count(*) AS d FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) i ON i.book_id = c.book_id GROUP BY c.book_id""")
+FROM {chunks} c LEFT JOIN (SELECT 'Brand#' || (l_suppkey % 25 + 1) AS book_id, count(*) AS d FROM lineitem GROUP BY 1) i ON i.book_id = c.book_id GROUP BY c.book_id""")
 def study_resources(spark, sf_dir):
     """Every book's passages, chapters, pages and diagrams in one pass over each table."""
-    i = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25 + 1).cast("string")).alias("book_id"))
+    i = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25 + 1).cast("string")).alias("book_id"))
     return activity.books(role(spark, sf_dir, "chunks"), i)
 
 
-@query(f"""WITH {_MASTERY}, b AS (SELECT book_id, avg(difficulty) AS mastery FROM {{questions}} WHERE slot = 'T2' GROUP BY book_id), a AS (SELECT book_id, round_even(avg(theta) * 100, 1) AS a FROM m WHERE book_id < 'Brand#2' GROUP BY book_id)
+@query(f"""WITH {_MASTERY}, b AS (SELECT book_id, avg(difficulty) AS mastery FROM {{questions}} WHERE slot = 'T2' GROUP BY book_id), a AS (SELECT book_id, round_even(avg(theta) * 100, 1) AS a FROM m GROUP BY book_id)
 SELECT coalesce(a.book_id, b.book_id) AS book_id, CAST(trunc(coalesce(a, round_even(mastery * 100, 1), 0)) AS INTEGER) AS progress FROM a FULL JOIN b ON a.book_id = b.book_id""")
 def subject_progress(spark, sf_dir):
     """Progress in percent, from abilities or else from topic mastery."""

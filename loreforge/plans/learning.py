@@ -52,7 +52,7 @@ def session_start(spark, sf_dir):
     return learner.session_start(m, ["student_id"]).withColumn("theta", F.bround("theta", 6))
 
 
-@query("""WITH l AS (SELECT c_custkey AS learner, c_acctbal / 10000 AS theta, 'Brand#' || (c_custkey % 25 + 1) AS book_id FROM customer WHERE c_custkey % 10 = 0),
+@query("""WITH l AS (SELECT c_custkey AS learner, c_acctbal / 10000 AS theta, 'Brand#' || (c_custkey % 25 + 1) AS book_id FROM customer),
 q AS (SELECT question_id, book_id, round_even(difficulty, 1) AS difficulty FROM {questions} WHERE verified), s AS (SELECT DISTINCT student_id * 10 AS learner, question_id FROM {answers}),
 t AS (SELECT *, greatest(0.1, least(0.95, theta - 0.05)) AS target FROM l),
 p AS (SELECT t.learner, q.question_id, difficulty, target, s.question_id IS NOT NULL AS seen, abs(difficulty - target) AS gap FROM t JOIN q USING (book_id) LEFT JOIN s ON s.learner = t.learner AND s.question_id = q.question_id),
@@ -152,14 +152,27 @@ def _nodes_with_status(spark, sf_dir):
     return nodes.select("book_id", "chapter", status.alias("status"), slot.alias("slot"), n.alias("place")), edges
 
 
-@query()
+# A book's chapters in the order of preference; each step takes the first that is not done and whose prerequisites are.
+_ORDER = f"""WITH RECURSIVE {_NODES},
+c AS (SELECT n.book_id, n.chapter, CAST(n.chapter AS INT) AS place, CASE CAST(n.chapter AS INT) % 3 WHEN 0 THEN 'weak' WHEN 1 THEN 'pending' ELSE 'completed' END AS status,
+  coalesce((SELECT list(prereq_chapter) FROM e WHERE e.book_id = n.book_id AND e.chapter = n.chapter), []::VARCHAR[]) AS needs FROM n),
+b AS (SELECT book_id, list({{'chapter': chapter, 'needs': needs}} ORDER BY CASE status WHEN 'weak' THEN 0 WHEN 'pending' THEN 1 ELSE 2 END, CASE WHEN place <= 17 THEN 0 WHEN place <= 33 THEN 1 ELSE 2 END, place) AS wanted FROM c GROUP BY book_id),
+o AS (SELECT book_id, wanted, []::VARCHAR[] AS done FROM b
+  UNION ALL SELECT book_id, wanted, list_append(done, nxt) FROM (SELECT *, list_filter(wanted, lambda x: NOT list_contains(done, x.chapter) AND list_has_all(done, x.needs))[1].chapter AS nxt FROM o) WHERE nxt IS NOT NULL),
+d AS (SELECT book_id, max_by(done, len(done)) AS done FROM o GROUP BY book_id),
+s AS (SELECT c.*, list_contains(done, chapter) AS reached, CAST(row_number() OVER (PARTITION BY c.book_id ORDER BY coalesce(list_position(done, chapter), 1000000), place) AS INT) AS step FROM c JOIN d USING (book_id))"""
+
+
+@query(_ORDER + " SELECT book_id, step, chapter, reached FROM s")
 def topo_order(spark, sf_dir):
     """The order in which to learn each book's chapters, weak ones first."""
     nodes, edges = _nodes_with_status(spark, sf_dir)
     return graph.learning_order(nodes, edges, "book_id")
 
 
-@query()
+@query(_ORDER + """, u AS (SELECT e.book_id, e.chapter, count(*) AS needed, coalesce(string_agg(DISTINCT e.prereq_chapter, ', ' ORDER BY e.prereq_chapter) FILTER (coalesce(p.status, '') <> 'completed'), '') AS unmet FROM e LEFT JOIN c p ON p.book_id = e.book_id AND p.chapter = e.prereq_chapter GROUP BY ALL)
+SELECT s.book_id, step, s.chapter, status, CASE WHEN NOT reached THEN 'independent' WHEN status = 'weak' THEN 're-study' WHEN status = 'completed' THEN 'mastered' WHEN needed IS NULL THEN 'begin' WHEN unmet <> '' THEN 'blocked by ' || unmet ELSE 'ready' END AS advice
+FROM s LEFT JOIN u ON u.book_id = s.book_id AND u.chapter = s.chapter""")
 def learning_advice(spark, sf_dir):
     """Advice for every step of that order."""
     nodes, edges = _nodes_with_status(spark, sf_dir)

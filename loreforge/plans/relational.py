@@ -97,7 +97,7 @@ def bank_deficits(spark, sf_dir):
 
 
 _PAGES = "SELECT p_partkey AS chunk, p_size AS book, p_partkey % 500 + 1 AS first, p_partkey % 500 + 1 + p_partkey % 4 AS last FROM part"
-_IMAGES = "SELECT l_partkey % 50 + 1 AS book, l_suppkey * 7 % 500 + 1 AS page, l_orderkey AS image FROM lineitem WHERE l_linenumber = 1"
+_IMAGES = "SELECT l_partkey % 50 + 1 AS book, l_suppkey * 7 % 500 + 1 AS page, l_orderkey AS image FROM lineitem"
 
 
 @query(f"""WITH c AS ({_PAGES}), i AS (SELECT book, page, min(image) AS image FROM ({_IMAGES}) GROUP BY ALL),
@@ -106,7 +106,7 @@ SELECT chunk, array_to_string(list_filter(images, lambda x: x IS NOT NULL), ',')
 def page_range_images(spark, sf_dir):
     """The images on a chunk's pages: an interval join, made an equi-join on single pages."""
     c = table(spark, sf_dir, "part").selectExpr("p_partkey AS chunk", "p_size AS book", "p_partkey % 500 + 1 AS first", "p_partkey % 500 + 1 + p_partkey % 4 AS last")
-    i = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").selectExpr("l_partkey % 50 + 1 AS book", "l_suppkey * 7 % 500 + 1 AS page", "l_orderkey AS image")
+    i = table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 50 + 1 AS book", "l_suppkey * 7 % 500 + 1 AS page", "l_orderkey AS image")
     i = i.groupBy("book", "page").agg(F.min("image").alias("image"))
     from loreforge.sources.images import attach
 
