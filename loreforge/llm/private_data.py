@@ -7,7 +7,9 @@ check of its digits, a gazetteer, the words before it, and its edges.  The votes
 patterns, at most 3**5 for each kind and feature mask, are counted over all rows;
 expectation-maximisation estimates each labeler's reliability from these counts and
 gives every pattern a probability, on which a linear classifier of span features is
-trained for each kind.  Candidates that it accepts are added.
+trained for each kind.  Its features are the gazetteer, the words before, and the span's
+form, length and place in its line, which no labeler sees.  Candidates that it accepts
+are added.
 
 Places are prefix sums of the lengths of matches and of the pieces between them,
 taken in blocks, so that a text with very many matches costs little more than in
@@ -37,7 +39,7 @@ HINTS = {"email": "contains({t}, '@')", "ip": r"{t} rlike '[0-9][.][0-9]'", "car
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 VALID = {"email": "true", "ip": rf"<x> rlike '^{_OCTET}(?:[.]{_OCTET}){{3}}$'", "card": "length(<d>) between 14 and 19 and luhn_check(<d>)", "phone": "length(<d>) between 10 and 15"}
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[({][Aa][Tt][\])}]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[({][Dd][Oo][Tt][\])}]\x20?)[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?+[\[({][Aa][Tt][\])}]\x20?+[A-Za-z0-9-]++(?:(?:\.|\x20?+[\[({][Dd][Oo][Tt][\])}]\x20?+)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?:[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{5}|[0-9]{14,19})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
@@ -52,6 +54,8 @@ CALLING = r"^[+](?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1
 CUES = {"email": "mail|correo|courriel|contact|kontakt|write to|addr", "ip": "ip|host|server|addr|ping|client|ssh", "card": "card|visa|master|amex|credit|debit|karte|carte|tarjeta|pan|account", "phone": "phone|tel|call|fax|mobile|cell|sms|fono|numm|contact"}
 AGAINST = "isbn|issn|doi|order|invoice|version|serial|sku|ref|commit|build|release|rfc|section"
 NEAR, BLOCK = 32, 256
+#: Characters from which a span of its kind is long.
+LONG_SPAN = {"email": 30, "ip": 13, "card": 17, "phone": 14}
 FEATURES = 8
 ROUNDS = 60
 
@@ -106,11 +110,12 @@ def _candidates(k: str, m: str, p: str, strict: bool) -> str:
     )
     judged = (
         f"transform(filter({made}, c -> {ok}), c -> named_struct('s', c.e - length(c.x), 'k', {n}, 'e', c.e, 'b', {str(strict).lower()},"
-        f" 'check', {check}, 'known', {known}, 'cue', {cue}, 'anti', {anti}, 'edge', {edge}, 'parted', c.x rlike '[\\\\x20().-]'))"
+        f" 'check', {check}, 'known', {known}, 'cue', {cue}, 'anti', {anti}, 'edge', {edge}, 'parted', c.x rlike '[\\\\x20().-]',"
+        f" 'repeats', c.x rlike '([0-9A-Za-z])\\\\1\\\\1\\\\1', 'long', length(c.x) >= {LONG_SPAN[k]}, 'opens', c.before rlike '(?:^|\\\\n)[\\\\x20\\\\t]*$', 'closes', c.after rlike '^[\\\\n.,;:!?)]|^$'))"
     )
     vote = lambda yes, no: f"case when {yes} then 2 when {no} then 0 else 1 end"
     votes = [vote("j.b", "false"), vote("j.check", "not j.check"), vote("j.known", "not j.known"), vote("j.cue", "j.anti"), vote("j.edge", "not j.edge")]
-    bits = ["j.b", "j.check", "coalesce(j.known, false)", "not coalesce(j.known, true)", "j.cue", "j.anti", "j.edge", "j.parted"]
+    bits = ["coalesce(j.known, false)", "j.cue", "j.anti", "j.parted", "j.repeats", "j.long", "j.opens", "j.closes"]
     v = " + ".join(f"{3**i} * ({x})" for i, x in enumerate(votes))
     f = " + ".join(f"if({x}, {1 << i}, 0)" for i, x in enumerate(bits))
     return f"transform({judged}, j -> named_struct('s', j.s, 'k', j.k, 'e', j.e, 'b', j.b, 'v', cast({v} as int), 'f', cast({f} as int)))"
@@ -240,6 +245,8 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def redact(df: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The table with every span of its texts replaced by its kind, as in ``[EMAIL]``; spans that overlap become one, named after the first.
 
+    The labelers' reliabilities and the classifier are fitted on the table itself, so
+    other rows may decide whether a candidate beyond the base spans is replaced.
     ``length``, where the table has such a column, becomes the new text's code
     points in the rows that change.  All else stays; null texts stay null.
     """

@@ -70,6 +70,79 @@ def test_candidates_are_added_and_redacted(spark, folder):
             assert r.text == "call [PHONE] or mail [EMAIL], card [CARD]"
 
 
+LOOSE = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?[\[({][Aa][Tt][\])}] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({][Dd][Oo][Tt][\])}] ?)[A-Za-z0-9-]+)+",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{14,19})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+}
+
+
+def votes_and_features(k, x, before, after, strict):
+    """What each labeler says of a span (True, False or None), and the features, one by one."""
+    d, has = re.sub("[^0-9]", "", x), lambda p, t: re.search(p, t) is not None
+    if k == "email":
+        check, known = has("[A-Za-z]{2,24}$", x), has(f"[^a-z](?:{P.DOMAINS})$", x.lower())
+    elif k == "ip":
+        check, known = True, False if has(P.RESERVED, x) else None
+    elif k == "card":
+        check, known = luhn(d), has(P.ISSUERS, d)
+    else:
+        check, known = strict or has("^[2-9][0-9]{2}[2-9]", d), has(P.CALLING, x) if strict else None
+    cue, anti = has(P.CUES[k], before.lower()), has(P.AGAINST, before.lower())
+    edge = not ((before and (before[-1].isalnum() or before[-1] == "_")) or (after and (after.isalnum() or after == "_")))
+    votes = [True if strict else None, check, known, True if cue else False if anti else None, edge]
+    features = [known is True, cue, anti, has("[ ().-]", x), has(r"([0-9A-Za-z])\1\1\1", x), len(x) >= P.LONG_SPAN[k], has(r"(?:^|\n)[ \t]*$", before), has(r"^[\n.,;:!?)]|^$", after)]
+    return votes, features
+
+
+def found_in(text):
+    """(kind, start, end, base, votes' pattern, features' mask) of all base spans and candidates."""
+    out = []
+    for n, k in enumerate(P.KINDS):
+        rest = text
+        for strict in (True, False):
+            matches = list(re.finditer((PATTERNS if strict else LOOSE)[k], rest))
+            edges = [0, *(m.end() for m in matches)]
+            for i, m in enumerate(matches):
+                if strict and not valid(k, m[0]):
+                    continue
+                after = rest[m.end() : matches[i + 1].start() if i + 1 < len(matches) else None][:1]
+                votes, features = votes_and_features(k, m[0], rest[edges[i] : m.start()][-P.NEAR :], after, strict)
+                out.append((n, m.start(), m.end(), strict, sum(3**j * {True: 2, None: 1, False: 0}[v] for j, v in enumerate(votes)), sum(f << j for j, f in enumerate(features))))
+            if strict:
+                for m in matches:
+                    if valid(k, m[0]):
+                        rest = rest[: m.start()] + "\x01" * len(m[0]) + rest[m.end() :]
+    return out
+
+
+def test_added_spans_against_a_row_by_row_version(spark):
+    rng = random.Random(9)
+    texts = random_texts(500, seed=8)
+    for _ in range(300):  # labelled ones, so that votes differ
+        texts.append(rng.choice(["call ", "order no ", "card: ", "isbn ", "\n", "x", "write to "]) + rng.choice(["(743) 555-3824", "4111 1111 1111 1111", "4111 1111 1111 1112", "me (at) host.com", "bob [at] b [dot] c [dot] zz", "3782 822463 10005", "1:2:3:4:5:6:7:8", "a@b.com", "+49 30 1234567", "8.8.8.8"]) + rng.choice(["", ".", " ok", "z", "\n"]))
+    rows = [found_in(t) for t in texts]
+    weights = []
+    for k in range(4):
+        counts, own = {}, {}
+        for _, _, _, _, v, f in (s for r in rows for s in r if s[0] == k):
+            counts[v] = counts.get(v, 0) + 1
+            own[v, f] = own.get((v, f), 0) + 1
+        truth = P.reliabilities(counts)[2]
+        weights.append(P.span_classifier([f for _, f in sorted(own)], [truth[v] for v, _ in sorted(own)], [own[x] for x in sorted(own)]))
+    score = lambda k, f: weights[k][-1] + sum(w for j, w in enumerate(weights[k][:-1]) if f >> j & 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in P.spans(df).collect()}
+    added = refused = 0
+    for i, r in enumerate(rows):
+        want = sorted((a, k, b) for k, a, b, strict, _, f in r if strict or score(k, f) >= 0)
+        assert got[i].spans == ",".join(f"{P.KINDS[k]}:{a}:{b}" for a, k, b in want), (texts[i], got[i].spans)
+        added += len(want) - sum(s[3] for s in r)
+        refused += len(r) - len(want)
+    assert added > 30 and refused > 30
+
+
 def test_reliabilities_are_recovered():
     """Labelers that are right 95, 90, 80 and 55 times of 100, independently; the fifth abstains."""
     right, prior, counts = (0.95, 0.9, 0.8, 0.55), 0.4, {}
