@@ -183,19 +183,28 @@ def top_products(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     Fewer where there are fewer.  Ties go to the smaller key; rows that share a key
     and differ are each a query and each a candidate, but none to its own key.
-    Vectors that are null or hold null or non-finite components, null keys and
-    vectors of other lengths than the most frequent take no part.  Scores are exact
-    while sums of products stay below 2**53, which floor(64 * x) does for |x| up to
-    a million at 64 dimensions.
+    Vectors that are null or hold null or non-finite components, empty vectors and
+    null keys take no part.  Vectors of different lengths have no inner product; each
+    length is a search of its own.  Scores are exact: a table with a vector whose
+    product with itself reaches 2**53 is refused with ValueError (floor(64 * x) stays
+    below that for |x| up to a million at 64 dimensions).
     """
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     spark = df.sparkSession
     vectors = whole_numbers(df, key, vector, scale)
-    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes or not sizes[0].d:
-        return spark.createDataFrame([], schema)
-    dim = sizes[0].d
-    vectors = vectors.where(F.size("v") == dim)
+    own = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
+    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.max(own).alias("most")).where("d > 0").orderBy("d").collect()  # one for each length
+    if any(r.most >= 2.0**53 for r in sizes):
+        raise ValueError("vectors so long that their products are not exact in 53 bits; use a smaller scale")
+    out = spark.createDataFrame([], schema)
+    for r in sizes:
+        out = out.unionAll(_top_products(vectors.where(F.size("v") == r.d), r.d, k, every, schema))
+    return out
+
+
+def _top_products(vectors: DataFrame, dim: int, k: int, every: int, schema: str) -> DataFrame:
+    """``top_products`` among whole vectors (id, v) of one length."""
+    spark = vectors.sparkSession
     axes = rotation(vectors, dim)
     paths = write_candidates(vectors, dim, axes, scratch_path(spark, "vectors"))
     queries = vectors.where(F.pmod("id", F.lit(every)) == 0)

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from loreforge.llm import inner_products as P
 
@@ -48,3 +49,18 @@ def test_blocks_are_left_out_by_length():
 
     best = P.search_block(np.array([-1]), v[:1], axes, blocks(), 20)
     assert seen == [0, 1] and best.id.max() < 1000
+
+
+def test_each_length_is_a_search_of_its_own(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(rng.choice([3, 3, 3, 7, 30]))]) for i in range(200)] + [(200, []), (201, [])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = [r for n in (3, 7, 30) for r in brute_force([x for x in rows if len(x[1]) == n])]
+    assert sorted(tuple(r) for r in P.top_products(df).collect()) == sorted(want) and len(want) > 100
+
+
+def test_inexact_scores_are_refused(spark):
+    df = spark.createDataFrame([(0, [1e7] * 64), (1, [1.0] * 64)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="53 bits"):
+        P.top_products(df)
+    assert P.top_products(df, scale=1).count() == 1
