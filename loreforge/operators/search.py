@@ -260,6 +260,6 @@ def evaluate(hits: DataFrame, expected: DataFrame, *, k: int, body: str, book: s
 def contains_terms(docs: DataFrame, terms: list[str], *, body: str, keep: list[str], first: int = 2) -> DataFrame:
     """term, keep columns, snippet and n (rows with the term) of the first rows in which each term occurs."""
     each = F.explode(F.array(*[F.lit(t) for t in terms])).alias("term")
-    hits = docs.select(*keep, body, each).withColumn("snippet", text.snippet(F.col(body), F.col("term"))).where("snippet is not null")
-    n = F.count("*").over(Window.partitionBy("term"))
-    return ranked(hits.withColumn("n", n), ["term"], [F.asc(c) for c in keep], first).drop(body)
+    hits = docs.select(*keep, body, each).withColumn("snippet", text.snippet(F.col(body), F.col("term"))).where("snippet is not null").drop(body)
+    n = hits.groupBy("term").agg(F.count("*").alias("n"))
+    return ranked(hits, ["term"], [F.asc(c) for c in keep], first).join(F.broadcast(n), "term").select("term", *keep, "snippet", "n", "rank")  # a row for each term asked
