@@ -125,22 +125,26 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _hits(src: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    """kk, th, n_hit and ids (sorted item_ids) of the documents in which a window occurs."""
+    """kk, th, n_hit, longest (words of the longest window that occurs) and ids (sorted item_ids) of the documents in which a window occurs."""
     found = occurrences(src, items, ["kk", "th"], window=window, gram=gram)
     found = written(found.groupBy("kk", "th", "from").agg(F.max("to").alias("to"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids")), "found")
     before = Window.partitionBy("kk", "th").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("to") - F.greatest(F.col("from"), F.coalesce(F.max("to").over(before), F.lit(0))))
-    hit = found.withColumn("new", new).groupBy("kk", "th").agg(F.sum("new").alias("n_hit"))
+    hit = found.withColumn("new", new).groupBy("kk", "th").agg(F.sum("new").alias("n_hit"), F.max(F.col("to") - F.col("from")).alias("longest"))
     named = found.select("kk", "th", F.explode("ids").alias("id")).groupBy("kk", "th").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     return hit.join(named, ["kk", "th"], "left")
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = WINDOW, gram: int = GRAM, one_in: int = ONE_IN) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that aren't contaminated (see ``report``)."""
+    """The rows of ``docs``, with all their columns, in which no window of ``window`` words occurs and that aren't contaminated (see ``report``).
+
+    A whole window is a leak however long the document is; shorter items (a word or
+    two may stand anywhere) count by the share of words that they hit.
+    """
     src = _keyed(docs, key, text)
-    per_doc = written(_hits(src, items, window, gram).select("kk", "th", "n_hit"), "n_hit")
+    per_doc = written(_hits(src, items, window, gram).select("kk", "th", "n_hit", "longest"), "n_hit")
     few = lambda keys: F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
-    bad = src.join(few(per_doc), ["kk", "th"]).where(F.col("n_hit") * one_in >= n_words(F.col("text"))).select("kk", "th").distinct()
+    bad = src.join(few(per_doc), ["kk", "th"]).where((F.col("longest") >= window) | (F.col("n_hit") * one_in >= n_words(F.col("text")))).select("kk", "th").distinct()
     bad = written(bad, "contaminated")
     kk, th = fresh(docs.columns, "kk", "th")
     marked = docs.withColumns({kk: F.coalesce(F.col(key).cast("string"), F.lit("null")), th: F.xxhash64(text_or_empty(text))})
@@ -148,7 +152,7 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def without_contaminated(spark, docs, sf_dir):
-    """The documents that aren't contaminated by the benchmark of ``sf_dir``."""
+    """The documents that hold no window of the benchmark of ``sf_dir`` (see ``clean``)."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
