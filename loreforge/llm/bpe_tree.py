@@ -107,17 +107,18 @@ def default_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_column(df: DataFrame, key: list[str], text: str = "text", *, ranks: str | None = None, pattern: str | None = None, leaf: int = LEAF_CHARS) -> DataFrame:
+def encode_column(df: DataFrame, key: list[str], text: str = "text", *, ranks: str | None = None, leaf: int = LEAF_CHARS) -> DataFrame:
     """Encode every whole text and decode its ids again.
 
     Returns the ``key`` columns as they are, ``n_tokens`` long, ``ids`` binary
     (little-endian unsigned 32-bit) and ``decoded`` binary.  A null text is an
     empty one, with no ids.  Rows are independent: repeated rows, ties and other
     columns change nothing, an empty table gives an empty one.  Special tokens'
-    strings in a text are ordinary text.
+    strings in a text are ordinary text.  ``ranks`` may name another vocabulary; the
+    pattern is the public one, for which ``is_seam`` holds.
     """
-    default = default_ranks() if ranks is None or pattern is None else ("", "")
-    path, pat = ranks or default[0], pattern or default[1]
+    path, pat = default_ranks()
+    path = ranks or path
     src = bounded_batches(df).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)], text_or_empty(text).alias("body"))
     kinds = ", ".join(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(key))
 
