@@ -1,44 +1,20 @@
-"""Helpers shared by the training-data operators: table reads, the shared scratch folder, Arrow plumbing."""
+"""Helpers shared by the training-data operators: table reads, Arrow plumbing, and tables in the shared folder (see ``loreforge.storage``)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreforge.storage import drop_scratch, scratch_mark, scratch_path, shared_dir, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests on one machine) a folder of our own is made and set for the session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loreforge-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+__all__ = ["arrow_map", "bounded_batches", "drop_scratch", "fresh", "scratch_mark", "scratch_path", "shared_dir", "slices", "table", "text_or_empty", "written"]
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/loreforge/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh(columns: Iterable[str], *wanted: str) -> list[str]:

@@ -11,7 +11,11 @@ def test_stages_over_sample_data(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
     kept = docs
+    words = lambda t: re.sub("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")).split(" ")
+    windows = lambda t: {tuple(w[i : i + 13]) for w in [[x for x in words(t) if x]] for i in range(len(w) - 12)}
+    leaks = {w for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for w in windows(r.text)}
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        came = kept.collect()
         kept = stage(spark, kept, sf)
         assert kept.columns == docs.columns, name
         rows = kept.collect()
@@ -23,6 +27,8 @@ def test_stages_over_sample_data(spark, sf):
             assert sum((i in set(ids)) == (said[i] == 0) for i in said) / len(said) > 0.9
         if name == "simhash_near_dedup":
             assert len({r.text for r in rows}) == len(rows)
+        if name == "benchmark_decontamination":
+            assert {r.doc_id for r in came if not leaks & windows(r.text)} == set(ids) and len(ids) < len(came)
     for r in rows:
         assert not re.search(r"[a-z.0-9]+@mail[0-9]+[.]example|[+]1 [(][0-9]{3}[)] 555", r.text)
     enc = bpe_tree.encoding(*bpe_tree.default_ranks())
