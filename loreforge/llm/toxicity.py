@@ -30,7 +30,8 @@ FOLDS, PER_CATEGORY, LEAST_ROWS, RIDGE, DRAW = 5, 200, 3, 1.0, "toxicity"
 #: more than ALIKE_ROWS of the category's and the smaller in this share of the larger's.
 ALIKE, ALIKE_ROWS = 0.5, 20
 PREFIXES = (3, 4, 5, 6)
-LONGEST_WORD = 40
+#: Characters of a word whose features a scorer remembers; longer ones are looked up each time.
+REMEMBERED = 40
 #: Categories in the chain's order, as conditions on a row of labels; the last one decides.
 CATEGORIES = (("toxic_prose", "toxic = 1 and quality = 1"), ("toxic_junk", "toxic = 1 and quality = 0"), ("toxic", "toxic = 1"))
 _WORD = re.compile(r"\w+")
@@ -38,8 +39,6 @@ _WORD = re.compile(r"\w+")
 
 def word_features(word: str) -> list[str]:
     """``word`` and ``start*`` for its proper prefixes."""
-    if len(word) > LONGEST_WORD:
-        return []
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
@@ -77,7 +76,9 @@ class Chain:
         def of(word: str) -> list[int]:
             if len(seen) >= keep:
                 seen.clear()
-            got = seen[word] = [number[f] for f in word_features(word) if f in number]
+            got = [number[f] for f in word_features(word) if f in number]
+            if len(word) <= REMEMBERED:
+                seen[word] = got
             return got
 
         def score(text: str) -> list[float]:
@@ -233,15 +234,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return fit_chain(chosen, x, y[:, 1:], y[:, 0], np.array([f for f, _ in keys], int), names)
 
 
-def score(df: DataFrame, chain: Chain, text: str = "text", *, columns: list[str] | None = None) -> DataFrame:
-    """The table with a probability for each link and, last, the decision, named ``columns`` (free names by default).
+def score(df: DataFrame, chain: Chain, text: str = "text", *, columns: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The table, or the columns ``keep`` of it, with a probability for each link and, last, the decision, named ``columns`` (free names by default).
 
     A null text is an empty one.  Rows are independent; all columns and repeated
     rows stay as they are.
     """
-    names = columns or fresh(df.columns, *[f"p_{link.name}" for link in chain.links], "is_toxic")
-    at = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names[:-1]], T.StructField(names[-1], T.BooleanType())])
+    kept = df.columns if keep is None else keep
+    names = columns or fresh(kept, *[f"p_{link.name}" for link in chain.links], "is_toxic")
+    schema = T.StructType([*[df.schema[k] for k in kept], *[T.StructField(n, T.DoubleType()) for n in names[:-1]], T.StructField(names[-1], T.BooleanType())])
+    at, out = df.columns.index(text), [df.columns.index(k) for k in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = chain.scorer()
@@ -249,7 +251,7 @@ def score(df: DataFrame, chain: Chain, text: str = "text", *, columns: list[str]
             for part in slices(batch, 256):
                 p = [of(t or "") for t in part.column(at).to_pylist()]
                 made = [pa.array([x[i] for x in p], pa.float64()) for i in range(len(chain.links))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made, pa.array([x[-1] >= chain.threshold for x in p], pa.bool_())], names=[*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in out), *made, pa.array([x[-1] >= chain.threshold for x in p], pa.bool_())], names=[*kept, *names])
 
     return bounded_batches(df).mapInArrow(run, schema)
 
@@ -259,7 +261,7 @@ def op1_toxicity_chain(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     chain = fit(docs, labels)
     names = [*[f"p_{n}" for n, _ in CATEGORIES], "toxic"]
-    return score(docs.select("doc_id", "text"), chain, columns=names).drop("text")
+    return score(docs.select("doc_id", "text"), chain, columns=names, keep=["doc_id"])
 
 
 def without_toxic(spark, docs, sf_dir):

@@ -88,3 +88,26 @@ def test_rare_kinds_are_learned(spark):
     chain = X.fit(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").where("doc_id % 2 = 0"))
     got = {r.doc_id: r.is_toxic for r in X.score(df, chain).collect()}
     assert sum(got[i] == bool(t) for i, _, t in labels if i % 2) / 1500 > 0.995
+
+
+def test_scores_against_a_plain_version(spark):
+    """Every link's probability from whole feature sets, one word at a time; words of any length count."""
+    long = "snort" * 40
+    docs = [(i, f"{'word other '}{'grunk' if i % 3 == 0 else 'calm'} {long if i % 4 == 0 else ''} w{i % 7} Grunkish", int(i % 3 == 0 or i % 4 == 0)) for i in range(240)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, n int")
+    labels = spark.createDataFrame([(i, i % 2, t) for i, _, t in docs], "doc_id bigint, quality int, toxic int")
+    chain = X.fit(df, labels)
+    assert any(f.startswith("sno") for f in chain.features)
+    names = [*[f"p_{n}" for n, _ in X.CATEGORIES], "said"]
+    got = {r.doc_id: r for r in X.score(df, chain, columns=names).collect()}
+    kept = {r.doc_id: r for r in X.score(df, chain, columns=names, keep=["doc_id"]).collect()}
+    for i, text, toxic in docs:
+        words = set("".join(c if c.isalnum() or c == "_" else " " for c in text.lower()).split())
+        has = words | {f"{w[:n]}*" for w in words for n in (3, 4, 5, 6) if len(w) > n}
+        earlier = []
+        for link in chain.links:
+            z = sum(w for f, w in zip(chain.features, link.weights, strict=False) if f in has)
+            z += sum(w * p for w, p in zip(link.weights[len(chain.features) :], earlier, strict=False)) + link.weights[-1]
+            earlier.append(1 / (1 + np.exp(-z)))
+        assert np.allclose([got[i][n] for n in names[:-1]], earlier) and got[i].said == (earlier[-1] >= chain.threshold) == bool(toxic)
+        assert tuple(kept[i]) == (i, *got[i][3:])
