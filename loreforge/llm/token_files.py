@@ -314,9 +314,10 @@ def write_shards(df: DataFrame, folder: str, key: str = "doc_id", text: str = "t
     return [(r.path, r.n_docs, r.n_ids) for r in sorted(found, key=lambda r: r.part)]
 
 
-def read_shards(spark, shards: list[tuple[str, int, int]], batch_rows: int = 4096) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) of every document, read from the files; one task a shard."""
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
+def read_shards(spark, shards: list[tuple[str, int, int]], batch_rows: int = 4096, *, ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if wanted, ids (little-endian unsigned 32-bit) of every document, read from the files; one task a shard."""
+    with_ids = ids
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
     if not shards:
         return spark.createDataFrame([], schema)
     starts = np.concatenate([[0], np.cumsum([n for _, _, n in shards])])[:-1]
@@ -324,7 +325,8 @@ def read_shards(spark, shards: list[tuple[str, int, int]], batch_rows: int = 409
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+            kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
@@ -333,8 +335,9 @@ def read_shards(spark, shards: list[tuple[str, int, int]], batch_rows: int = 409
                 with where.open_input_file(at) as source:
                     for key, start, ids in ShardReader(source).documents():
                         data = ids.astype("<u4").tobytes()
-                        rows.append((key, first + start, len(ids), zlib.crc32(data), data))
-                        held += len(data)
+                        row = (key, first + start, len(ids), zlib.crc32(data))
+                        rows.append((*row, data) if with_ids else row)
+                        held += len(data) if with_ids else 0
                         if len(rows) >= batch_rows or held > 1 << 24:
                             yield made(rows)
                             rows, held = [], 0
@@ -348,4 +351,4 @@ def op2_token_files(spark, sf_dir):
     """Write the ids of all documents, read them back: doc_id, start, n_tokens, ids_crc32."""
     folder = scratch_path(spark, "ids")
     shards = write_shards(table(spark, sf_dir, "documents"), folder)
-    return read_shards(spark, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_shards(spark, shards, ids=False)
