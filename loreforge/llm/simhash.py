@@ -135,7 +135,9 @@ def _pairs(rows: np.ndarray, first: np.ndarray, cut: Cut) -> np.ndarray:
 def links(distinct: DataFrame, cut: Cut) -> DataFrame:
     """Links between distinct fingerprints as a..., b... lanes (a0, b0, ...); b null: a is in a bucket of over HOT members."""
     lanes = [f"f{i}" for i in range(cut.lanes)]
-    rows = _variant_rows(distinct, cut)
+    # Each row becomes many: dealt to all tasks first, however few hold the fingerprints.
+    tasks = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = _variant_rows(distinct.repartition(tasks, *lanes), cut)
     rows = rows.repartition("v", "key").sortWithinPartitions("v", "key", *lanes)
     names = [f"a{i}" for i in range(cut.lanes)] + [f"b{i}" for i in range(cut.lanes)]
 
