@@ -17,14 +17,14 @@ def roots(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds: each links the neighbours of a
     node to the smallest of them, so the edges never grow in number and end as one
     star for each component, after a number of rounds that grows with the logarithm
-    of its diameter.  A round is written to the shared folder.  Hubs are met by
+    of its diameter.  Each half of a round is written to the shared folder.  Hubs are met by
     pre-aggregated minima and a join that AQE can split, not by gathering a node's
     neighbours.  Loops and repeated edges don't matter.
     """
     state = written(_down(edges), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        state = written(_small_star(_large_star(state)), "edges")
+        state = written(_small_star(written(_large_star(state), "stars")), "edges")  # each half is read more than once
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -28,37 +28,35 @@ def test_forest_joins_what_pairs_join():
     base = rng.integers(0, 1 << 63, 5).astype(np.uint64)
     names = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 63, 40).astype(np.uint64)) for b in base])
     names = np.column_stack([names, np.repeat(base, 40)])
-    a, b, first = N.forest(names, 2)
-    assert len(a) == len(names) - len(first) and len(first) == 5
-    assert all(N.apart(names[i], names[j]) <= 2 for i, j in zip(a, b, strict=True))
+    a, b = N.forest(names, 2)
+    assert len(a) == len(names) - 5 and set(a.tolist()) == {0, 40, 80, 120, 160}
+    assert all(i // 40 == j // 40 for i, j in zip(a, b, strict=True))
 
 
-def test_thinned_joins_what_all_links_join():
+def test_small_buckets_are_joined_as_large_ones():
+    """Random buckets: chains of pairs within NAME_BITS, not only pairs, join rows with the least of them."""
     rng = np.random.default_rng(2)
-    for n in (2, 3, 9, 16):
-        a, b = np.triu_indices(n, 1)
-        bits = rng.integers(0, 17, len(a))
-        keep = N.thinned(a, b, bits)
-        assert keep.sum() <= N.FORESTS * (n - 1) and (n > 3 or keep.all())
-        # The nearest spanning forest is among them: for every pair, a path of links no farther than the pair.
-        for bound in range(17):
-            root = list(range(n))
-
-            def find(i):
-                while root[i] != i:
-                    i = root[i]
-                return i
-
-            for x, y in zip(a[keep & (bits <= bound)], b[keep & (bits <= bound)], strict=True):
-                root[find(x)] = find(y)
-            assert all(find(x) == find(y) for x, y in zip(a[bits <= bound], b[bits <= bound], strict=True))
+    rows = []
+    for slot in range(60):
+        name = rng.integers(0, 1 << 63, 2).astype(np.uint64)
+        for _ in range(rng.integers(1, N.HOT + 1)):
+            if rng.random() < 0.2:
+                name = rng.integers(0, 1 << 63, 2).astype(np.uint64)
+            name = name ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 63, (12, 2)).astype(np.uint64), axis=0)
+            rows.append((slot, *name))
+    slot, names = np.array([r[0] for r in rows]), np.array([[i, *r[1:]] for i, r in enumerate(rows)], np.uint64)
+    a, b = N._near_in_buckets(slot, names)
+    want = set()
+    for s in range(60):
+        own = np.flatnonzero(slot == s)
+        want |= {(int(own[i]), int(own[j])) for i, j in zip(*N.forest(names[own][:, 1:], N.NAME_BITS), strict=True)}
+    assert set(zip(a[:, 0].tolist(), b[:, 0].tolist(), strict=True)) == want and len(want) > 100
 
 
 def test_a_row_whose_nearest_link_is_not_true_is_tried_again():
     names = np.column_stack([np.array([0b0, 0b1, 0b111, 0b1111], np.uint64)] * 2)
     a, b = N._near_in_buckets(np.zeros(4, np.int32), names)
-    said = {frozenset(p) for p in zip(a[:, 0].tolist(), b[:, 0].tolist(), strict=True)}
-    assert said == {frozenset((x, y)) for x in names[:, 0].tolist() for y in names[:, 0].tolist() if x < y}
+    assert set(zip(a[:, 0].tolist(), b[:, 0].tolist(), strict=True)) == {(0, 0b1), (0, 0b111), (0, 0b1111)}  # one group, of which all are compared
 
 
 def test_stated_share_is_found(spark):
@@ -189,3 +187,80 @@ def test_lanes_are_independent():
     hashes = shingle_hashes(" ".join(f"w{i}" for i in range(500)), 5)[0]
     lanes = [majority(hashes), *(majority(N._mixed(hashes, i)) for i in range(N.LANES))]
     assert all(16 <= ((a ^ b) & (1 << 64) - 1).bit_count() <= 48 for i, a in enumerate(lanes) for b in lanes[:i])
+
+
+def family(rng, n, length, most):
+    """A text and copies of it with 0 to ``most`` words replaced: some are near the base, some near each other, most to none."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    return [" ".join(words), *(changed(rng, words, rng.randint(0, most)) for _ in range(n - 1))]
+
+
+def brute_classes(texts, similarity=0.8):
+    """Least index of each text's class, by comparing all pairs."""
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n >= similarity * (len(a) + len(sets[j]) - n):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def test_crowded_groups_against_all_pairs(spark):
+    """Groups of which most texts are under 0.8 to each other: the classes are those of all pairs, by leaders or by blocks."""
+    rng = random.Random(13)
+    texts = family(rng, 350, 120, 10) + family(rng, 60, 60, 4) + family(rng, 40, 200, 12)
+    rng.shuffle(texts)
+    want = brute_classes(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    old = N.CHUNK, N.ROUNDS, N.LEADER_BYTES
+    try:
+        for N.CHUNK, N.ROUNDS, N.LEADER_BYTES in ((40, 4, old[2]), (40, 1, 0)):
+            got = {r.key: r.least for r in N.classes(df).collect()}
+            linked = [i for i, w in enumerate(want) if w != i]
+            assert len(linked) > 100 and len({w for w in want}) > 50
+            found = sum(got[i] == got[want[i]] for i in linked) / len(linked)
+            assert found >= 0.97, found
+            assert all(want[i] == want[got[i]] for i in got)  # nothing else is linked
+    finally:
+        N.CHUNK, N.ROUNDS, N.LEADER_BYTES = old
+
+
+def test_verification_alone_is_exact(spark):
+    """All texts as one group: what leaders and blocks link is what all pairs link."""
+    rng = random.Random(14)
+    texts = family(rng, 200, 100, 25) + family(rng, 50, 90, 9) + [" ".join(f"u{i}x{j}" for j in range(70)) for i in range(30)] + ["", "one two"]
+    want = brute_classes(texts)
+    hashes = [np.unique(shingle_hashes(t, 5)[0]) for t in texts]
+    names = {i: N._set_name(h) for i, h in enumerate(hashes)}
+    groups = spark.createDataFrame([(f, 7) for f in set(names.values())], "f bigint, root bigint")
+    sets = spark.createDataFrame([(f, bytearray(h)) for f, h in {names[i]: h.tobytes() for i, h in enumerate(hashes)}.items()], "f bigint, hs binary")
+    old = N.CHUNK, N.ROUNDS
+    try:
+        for N.CHUNK, N.ROUNDS in ((1000, 4), (30, 4), (30, 1), (30, 0)):
+            up = {f: f for f in names.values()}
+
+            def find(f):
+                while up[f] != f:  # noqa: B023
+                    f = up[f]  # noqa: B023
+                return f
+
+            for r in N.verified(groups, sets, 0.8).collect():
+                up[find(r.a)] = find(r.b)
+            assert all((find(names[i]) == find(names[j])) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
+    finally:
+        N.CHUNK, N.ROUNDS = old
+
+
+def test_unrelated_texts_with_a_repeated_word_stay(spark):
+    rng = random.Random(15)
+    texts = ["buy " * 400 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) for _ in range(5)]
+    assert max(jaccard(a, b) for a in texts for b in texts if a is not b) < 0.01
+    assert N.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).count() == 5
