@@ -21,12 +21,15 @@ within a group every text is verified on shingle sets.  Groups of up to ``CHUNK`
 2. a leader, the one with the largest share of shingles that others have too, is sent to
    all rows of its group; rows that are linked to it are settled, the rest elect the next
    leader, for ``ROUNDS`` rounds;
-3. what no leader has settled is compared with all that is left of its group, in pairs of
+3. settled rows meet the other leaders of their group too, and what may link the rows of
+   two leaders that no row has joined is compared in pairs of blocks;
+4. what no leader has settled is compared with all that is left of its group, in pairs of
    blocks that go to different tasks.
 
-No true link is missed by that.  Copies edited here and there end in the first two steps,
-whose rows grow with the group; only texts that share most shingles with others and are
-linked to no leader cost more.
+No true link is missed by that.  Copies edited here and there end in the first two steps and
+in the meeting with other leaders, whose rows grow with the group; only texts that share most
+shingles with others and are linked to no leader, or lie between leaders that aren't joined,
+cost more.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -265,22 +269,20 @@ def verified(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     if large.isEmpty():
         return small
     live = written(_sharing(_with(rows, large, "root", "left_semi"), similarity), "sharing")
-    stars, settled = [], []
+    links, settled, heads = small, [], []
     for _ in range(ROUNDS):
-        met = written(_by_leader(live, similarity), "led")
-        stars.append(met.where("near and f != leader").select(F.col("f").alias("a"), F.col("leader").alias("b")))
-        settled.append(met.where("near").drop("leader", "near"))
+        heads.append(_leaders(live))
+        met = written(_by_leader(live, heads[-1], similarity), "led")
+        links = links.unionAll(met.where("near and f != leader").select(F.col("f").alias("a"), F.col("leader").alias("b")))
+        settled.append(met.where("near").drop("near"))
         live = met.where("not near").drop("leader", "near")
         if live.isEmpty():
             break
-    links = small
-    for star in stars:
-        links = links.unionAll(star)
+    if len(heads) > 1:
+        links = links.unionAll(_between_leaders(reduce(DataFrame.unionAll, settled), reduce(DataFrame.unionAll, heads), similarity))
     if live.isEmpty():
         return links
-    every = live
-    for done in settled:
-        every = every.unionAll(done)
+    every = reduce(DataFrame.unionAll, [done.drop("leader") for done in settled], live)
     return links.unionAll(_compared(_in_blocks(live, every), similarity))
 
 
@@ -322,28 +324,86 @@ def _sharing(rows: DataFrame, similarity: float) -> DataFrame:
     return known.where(F.col("public") >= need - 1e-6).select("root", "f", "size", "public", "hs")
 
 
-def _by_leader(rows: DataFrame, similarity: float) -> DataFrame:
-    """The rows with their group's leader and whether they are linked to it (a leader is to itself)."""
+def _leaders(rows: DataFrame) -> DataFrame:
+    """root, leader and lead (its shingle set) of every group."""
     first = rows.groupBy("root").agg(F.max_by("f", F.struct(F.try_divide("public", "size"), F.col("f"))).alias("f"))
     leaders = _with(rows, written(first, "first"), ["root", "f"], "left_semi").select("root", F.col("f").alias("leader"), F.col("hs").alias("lead"))
-    leaders = written(leaders, "leaders")
+    return written(leaders, "leaders")
+
+
+def _met(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Every row with each leader of its group."""
     if (leaders.agg(F.sum(F.octet_length("lead"))).first()[0] or 0) <= LEADER_BYTES:
-        met = rows.join(F.broadcast(leaders), "root")
-    else:
-        salted = leaders.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-        met = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(f), {SALTS}) as int)")).join(salted, ["root", "salt"]).drop("salt")
+        return rows.join(F.broadcast(leaders), "root")
+    salted = leaders.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    return rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(f), {SALTS}) as int)")).join(salted, ["root", "salt"]).drop("salt")
+
+
+def _overlaps(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Of each row's hs and lead the sizes of intersection and union."""
+    for hs, lead in zip(batch.column("hs").to_pylist(), batch.column("lead").to_pylist(), strict=True):
+        x, y = np.frombuffer(hs, np.uint64), np.frombuffer(lead, np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        yield common, len(x) + len(y) - common
+
+
+def _by_leader(rows: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """The rows with their group's leader and whether they are linked to it (a leader is to itself)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
-            for hs, lead in zip(batch.column("hs").to_pylist(), batch.column("lead").to_pylist(), strict=True):
-                x, y = np.frombuffer(hs, np.uint64), np.frombuffer(lead, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(common >= similarity * (len(x) + len(y) - common))
+            near = [common >= similarity * union for common, union in _overlaps(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "f", "size", "public", "hs", "leader")), pa.array(near, pa.bool_())], names=["root", "f", "size", "public", "hs", "leader", "near"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("root", "f", "size", "public", "hs"))
-    return bounded_batches(met.select("root", "f", "size", "public", "hs", "leader", "lead"), 256).mapInArrow(run, f"{kinds}, leader bigint, near boolean")
+    met = _met(rows, leaders).select("root", "f", "size", "public", "hs", "leader", "lead")
+    return bounded_batches(met, 256).mapInArrow(run, f"{kinds}, leader bigint, near boolean")
+
+
+def _between_leaders(settled: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that join what all links between rows that different leaders of a group have settled join.
+
+    Jaccard distances keep the triangle inequality, so a row that is linked to one of
+    another leader is within twice a link's distance of that leader.  If such a row is
+    even linked to that leader, both leaders' rows are joined; else the rows within
+    that distance on both sides are compared.
+    """
+    many = written(leaders.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "many")
+    rows, leaders = (_with(df, many, "root", "left_semi") for df in (settled.withColumnRenamed("leader", "own"), leaders))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = list(_overlaps(batch))
+            near = pa.array([common >= similarity * union for common, union in seen], pa.bool_())
+            close = pa.array([common >= (2 * similarity - 1) * union - 1e-6 for common, union in seen], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "f", "own", "leader")), near], names=["root", "f", "own", "leader", "near"]).filter(close)
+
+    met = _met(rows, written(leaders, "several")).where("own != leader").select("root", "f", "own", "leader", "hs", "lead")
+    met = bounded_batches(met, 256).mapInArrow(meet, "root bigint, f bigint, own bigint, leader bigint, near boolean")
+    close = written(met.withColumns({"p": F.least("own", "leader"), "q": F.greatest("own", "leader")}), "close")
+    links = close.where("near").select(F.col("f").alias("a"), F.col("leader").alias("b"))
+    pairs = close.groupBy("root", "p", "q").agg(F.max("near").alias("near"), F.expr("max(own = p) and max(own = q)").alias("both"))
+    pairs = pairs.groupBy("root").agg(F.collect_list(F.struct("p", "q", "near", "both")).alias("pairs"))  # of ROUNDS leaders at most
+
+    def not_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for root, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                label = {x[end]: x[end] for x in found for end in "pq"}
+                for x in found:
+                    if x["near"]:
+                        old, new = label[x["p"]], label[x["q"]]
+                        label = {leader: new if at == old else at for leader, at in label.items()}
+                out += [(root, x["p"], x["q"]) for x in found if x["both"] and label[x["p"]] != label[x["q"]]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["root", "p", "q"])
+
+    apart = written(pairs.mapInArrow(not_joined, "root bigint, p bigint, q bigint"), "apart")
+    if apart.isEmpty():
+        return links
+    sides = written(_with(close.where("not near"), apart, ["root", "p", "q"], "inner").select("root", "f", "own", "p", "q"), "sides")
+    sides = _with(rows.select("root", "f", "size", "hs"), sides, ["root", "f"], "inner").withColumn("root", F.xxhash64("root", "p", "q"))
+    sides = written(sides.select("root", "f", "size", "hs", (F.col("own") == F.col("p")).alias("first")), "facing")
+    return links.unionAll(_compared(_in_blocks(sides.where("first"), sides.where("not first")), similarity))
 
 
 def _in_blocks(some: DataFrame, every: DataFrame) -> DataFrame:

@@ -264,3 +264,40 @@ def test_unrelated_texts_with_a_repeated_word_stay(spark):
     texts = ["buy " * 400 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) for _ in range(5)]
     assert max(jaccard(a, b) for a in texts for b in texts if a is not b) < 0.01
     assert N.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).count() == 5
+
+
+def test_links_between_rows_of_different_leaders_are_found(spark):
+    """Chains of sets of which only neighbours are linked: a leader settles three, and links lead on from those it has settled."""
+    rng = random.Random(16)
+    rows, links = [], []
+    for root in range(12):
+        for chain in range(rng.choice([1, 1, 3])):
+            n, far = rng.choice([4, 6, 7, 12]), rng.choice([9, 10])
+            names = rng.sample(range(1 << 40), n)
+            sets = [np.arange(i * far, i * far + 100) + (root * 10 + chain) * 10**6 for i in range(n)]
+            rows += [(root, f, bytearray(x.astype(np.int64).tobytes())) for f, x in zip(names, sets, strict=True)]
+            links += zip(names, names[1:], strict=False)
+    groups = spark.createDataFrame([(f, root) for root, f, _ in rows], "f bigint, root bigint")
+    sets = spark.createDataFrame([(f, hs) for _, f, hs in rows], "f bigint, hs binary")
+
+    def parts(pairs):
+        up = {f: f for _, f, _ in rows}
+
+        def find(f):
+            while up[f] != f:
+                f = up[f]
+            return f
+
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        found = {}
+        for f in up:
+            found.setdefault(find(f), set()).add(f)
+        return {frozenset(x) for x in found.values()}
+
+    old = N.CHUNK, N.ROUNDS, N.LEADER_BYTES
+    try:
+        for N.CHUNK, N.ROUNDS, N.LEADER_BYTES in ((3, 4, old[2]), (3, 12, 0)):
+            assert parts((r.a, r.b) for r in N.verified(groups, sets, 0.8).collect()) == parts(links)
+    finally:
+        N.CHUNK, N.ROUNDS, N.LEADER_BYTES = old
