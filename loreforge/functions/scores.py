@@ -72,5 +72,5 @@ def topic_status(theta: Column, attempts: Column, correct: Column) -> Column:
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
-    """The inner product of two unit vectors, in [0, 1]."""
-    return clamp(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), 0.0, 1.0)
+    """The inner product of two unit vectors, in [0, 1]; null if a component is (bounds alone would make that 1)."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x, lambda s: F.when(s.isNotNull(), clamp(s, 0.0, 1.0)))
