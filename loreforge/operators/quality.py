@@ -92,14 +92,18 @@ def is_incomplete(body: Column, code: Column, equation: Column) -> Column:
 def chunk_report(df: DataFrame) -> DataFrame:
     """The whole-table check of built chunks, in one pass; ``hard_failures`` must be 0 before they are written."""
     w = F.col("word_count")
-    checked = df.agg(
-        F.count("*").alias("total"), F.bround(F.avg(w), 1).alias("mean"), F.min(w).alias("least"), F.max(w).alias("most"), F.count_if(w < LEAST).alias("short"), F.count_if(w > MOST).alias("large"),
-        F.count_if(w > HARD).alias("hard_large"), F.count_if(is_incomplete(F.col("text"), F.col("contains_code"), F.col("contains_equation"))).alias("incomplete"),
-        F.count_if(F.col("chunk_id").isNull() | (F.col("chunk_id") == "") | F.col("book_id").isNull() | (F.col("book_id") == "") | (text.strip(F.coalesce("text", F.lit(""))) == "")).alias("missing"),
-        F.count_if(F.col("page_start") > F.col("page_end")).alias("bad_pages"), F.count_if(w != text.word_count(F.col("text"))).alias("word_mismatch"),
+    counts = {
+        "short": w < LEAST, "large": w > MOST, "hard_large": w > HARD, "incomplete": is_incomplete(F.col("text"), F.col("contains_code"), F.col("contains_equation")),
+        "missing": F.col("chunk_id").isNull() | (F.col("chunk_id") == "") | F.col("book_id").isNull() | (F.col("book_id") == "") | (text.strip(F.coalesce("text", F.lit(""))) == ""),
+        "bad_pages": F.col("page_start") > F.col("page_end"), "word_mismatch": w != text.word_count(F.col("text")),
+    }
+    # By id first, so that repeated ids are seen in the same pass.
+    each = df.groupBy("chunk_id").agg(F.count("*").alias("n"), F.count(w).alias("sized"), F.sum(w).alias("words"), F.min(w).alias("least"), F.max(w).alias("most"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    out = each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.bround(F.try_divide(F.sum("words").cast("double"), F.sum("sized")), 1).alias("mean"), F.min("least").alias("least"), F.max("most").alias("most"), *[total(k) for k in counts],
+        F.count_if(F.col("n") > 1).alias("duplicates"),
     )
-    repeated = df.groupBy("chunk_id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicates"))
-    out = checked.join(F.broadcast(repeated), F.lit(True))
     return out.withColumn("hard_failures", F.col("missing") + F.col("duplicates") + F.col("bad_pages") + F.col("word_mismatch") + F.col("hard_large") + F.when(F.col("total") == 0, 1).otherwise(0))
 
 
