@@ -75,7 +75,8 @@ def fill_up(first: DataFrame, rest: DataFrame, n: int, key: list[str], order: li
 
 def focus(mastery: DataFrame, titles: DataFrame, by: list[str]) -> DataFrame:
     """Topics with name, score, status and colour; ``titles``: by, title (at most one)."""
-    score = F.bround(F.coalesce(F.col("theta"), F.lit(scores.START)) * 100, 1)
+    # Tenths to the nearest even, in floating point as DuckDB's round_even does; bround goes by the decimal digits.
+    score = F.rint(F.coalesce(F.col("theta"), F.lit(scores.START)) * 100 * 10) / 10
     out = mastery.join(titles, by, "left").withColumn("score", score)
     name = F.coalesce(F.col("title"), F.concat(F.lit("Chapter "), F.col(by[-1]).cast("string")))
     return out.withColumns({"name": name, "status": scores.focus_status(F.col("score")), "colour": scores.focus_colour(F.col("score"))}).drop("title")
